@@ -89,7 +89,7 @@ def generate_batches_query(spark, d):
     return rows.select("id", "response_no", joined("response_tokens").alias("response_tokens"), rounded(logp).alias("logp"))
 
 
-PAD_LEFT = "list_concat(" + sql_fill("0", "512 - len(q)") + ", q)"
+PAD_LEFT = "CASE WHEN q IS NOT NULL THEN list_concat(" + sql_fill("0", "512 - len(q)") + ", q) END"
 
 
 @query(
@@ -110,7 +110,7 @@ PAD_LEFT = "list_concat(" + sql_fill("0", "512 - len(q)") + ", q)"
     ),
 )
 def sft_query(spark, d):
-    examples = build_sft_examples(spread_small(v.posts(spark, d)))
+    examples = build_sft_examples(v.posts(spark, d))
     return examples.select(
         "id",
         "status",

@@ -171,7 +171,7 @@ def write_text_report_query(spark, d):
 
 @query(
     "append_metrics",
-    "SELECT event_type AS run, event_id AS step, metric, round(value, 6) + 0.0 AS value FROM ("
+    "SELECT event_type AS run, event_id AS step, metric, round(value + 1e-9, 6) + 0.0 AS value FROM ("
     "SELECT event_type, event_id, 'train_loss' AS metric, value FROM events UNION ALL "
     "SELECT event_type, event_id, 'learning_rate', value / 2 FROM events)",
 )

@@ -12,6 +12,8 @@ from prefloom.functions.text import format_prompt, format_response, join_query_r
 from prefloom.operators.groups import fan_out
 from prefloom.operators.vocabulary import build_vocabulary, decode
 from prefloom.schemas import PROMPT_TEMPLATE
+from prefloom.session import cut_lineage
+from prefloom.sources.tables import spread_small
 
 
 def _fields(*names: str):
@@ -110,9 +112,10 @@ def token_length_query(spark, d):
     LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS decoded FROM named GROUP BY doc_id) x USING (doc_id)""",
 )
 def decode_query(spark, d):
-    documents = v.table(spark, d, "documents")
+    documents = spread_small(v.table(spark, d, "documents"))
     encoded = documents.select("doc_id", TOKENIZER.encode(F.col("text")).alias("tokens"))
-    return decode(encoded, "doc_id", "tokens", build_vocabulary(documents, "text"))
+    vocabulary = cut_lineage(build_vocabulary(documents, "text"))
+    return decode(encoded, "doc_id", "tokens", vocabulary)
 
 
 @query(

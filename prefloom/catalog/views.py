@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from prefloom.functions.losses import sequence_logp
 from prefloom.functions.text import BLANKS
 from prefloom.functions.tokens import WordTokenizer
-from prefloom.operators.skew import join_unique
+from prefloom.operators.skew import hot_keys, join_unique
+from prefloom.sources.tables import spread_small
 from prefloom.schemas import AXIS_EVAL, COMPARISON, EOS_TEXT, PAD_TEXT
 
 TOKENIZER = WordTokenizer()
@@ -23,9 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(value: Column | str) -> Column:
-    """Doubles as both engines are compared on: six places, no negative zero."""
+    """Doubles as both engines are compared on: six places, no negative zero. The nudge keeps
+    exact halves from rounding apart when sums differ in their last bit."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.round(value, 6) + F.lit(0.0)
+    return F.round(value + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def joined(values: Column | str) -> Column:
@@ -35,8 +37,9 @@ def joined(values: Column | str) -> Column:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), 1, 12), " ")
-    return table(spark, sf_dir, "documents").select(
+    opening = F.regexp_extract("text", r"^(\s*+(?:\S++\s*+){0,12}+)", 1)
+    summary = F.array_join(F.regexp_extract_all(opening, F.lit(r"(\S+)"), 1), " ")
+    return spread_small(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("subreddit"),
         F.substring_index("text", "\n", 1).alias("title"),
@@ -54,8 +57,7 @@ def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = replies.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("next_text"))
     pairs = replies.join(later, ["conv_id", "turn"])
     opening = turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("post"))
-    counts = pairs.groupBy("conv_id").agg(F.count("*").alias("n"))
-    rows = join_unique(pairs, opening, ["conv_id"], counts, spread_by=["turn"], how="left")
+    rows = join_unique(pairs, opening, "conv_id", hot_keys(turns, "conv_id"), spread_by=["turn"], how="left")
     conv, null_text = F.col("conv_id"), F.lit(None).cast("string")
     part = F.when(conv % 4 == 0, "valid1").when(conv % 4 == 1, "valid2").otherwise("train")
     return rows.select(
@@ -226,7 +228,7 @@ def sql_joined(values: str) -> str:
 
 
 def sql_round(value: str) -> str:
-    return f"round({value}, 6) + 0.0"
+    return f"round({value} + 1e-9, 6) + 0.0"
 
 
 def sql_fill(value: str, n: str) -> str:
@@ -234,7 +236,8 @@ def sql_fill(value: str, n: str) -> str:
 
 
 def sql_fix_width(ids: str, width: int) -> str:
-    return f"list_concat({ids}, {sql_fill('0', str(width))})[1:{width}]"
+    # DuckDB's list_concat reads a NULL list as an empty one.
+    return f"CASE WHEN {ids} IS NOT NULL THEN list_concat({ids}, {sql_fill('0', str(width))})[1:{width}] END"
 
 
 def sql_prompt(post: str) -> str:

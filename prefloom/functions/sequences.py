@@ -36,7 +36,7 @@ def pad(tokens: Column, width: int, pad_id: int, side: str = "right") -> Column:
 
 def fix_width(tokens: Column, width: int, pad_id: int) -> Column:
     """Cut on the right to ``width`` tokens, then pad on the right."""
-    return F.slice(F.concat(tokens, F.array_repeat(_long(pad_id), width)), 1, width)
+    return pad(F.slice(tokens, 1, width), width, pad_id)
 
 
 def token_length(tokens: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions.sequences import spread_advantage
-from prefloom.operators.skew import HOT_ROWS, join_unique
+from prefloom.operators.skew import HOT_ROWS, hot_keys
 
 STD_EPSILON = 1e-7
 
@@ -24,32 +22,45 @@ def check_group_size(df: DataFrame, group: str, size: int) -> DataFrame:
     return sizes.withColumn("n", _fail_unless_size(F.col("n"), F.col(group), size))
 
 
+def _advantage(score: str, mean: Column, std: Column, normalize: bool) -> Column:
+    centred = F.col(score) - mean
+    return F.coalesce(centred / (std + F.lit(STD_EPSILON)), F.lit(0.0)) if normalize else centred
+
+
 def group_advantage(
     df: DataFrame,
     group: str,
     score: str = "score",
     normalize: bool = True,
     group_size: int | None = None,
-    spread_by: Sequence[str] = ("response_no",),
     min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Score minus the group mean, divided by the group's sample deviation if ``normalize``.
+    """Score minus the group mean, divided by the group's sample deviation if ``normalize``. A
+    group of one gets advantage 0.
 
-    Groups are reduced by partial aggregates and joined back, with hot groups cut into slices,
-    so that no task has to hold one group. A group of one gets advantage 0.
+    Ordinary groups take one shuffle and a window. A group holding a large share of the rows is
+    reduced by partial aggregates instead, and its mean and deviation go out with a broadcast,
+    so its rows stay where they are. With ``group_size``, a group of any other size fails the
+    query; groups of a fixed size cannot be hot, so the look for hot ones is left out.
     """
-    stats = df.groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std")
-    )
-    lookup = stats.select(group, "_mean", "_std")
-    if group_size is not None:
-        checked = _fail_unless_size(F.col("n"), F.col(group), group_size)
-        # The check rides on a value every row needs, so that it cannot be pruned away.
-        lookup = stats.select(group, F.when(checked > 0, F.col("_mean")).alias("_mean"), "_std")
-    joined = join_unique(df, lookup, [group], stats.select(group, "n"), spread_by, min_rows=min_hot_rows)
-    centred = F.col(score) - F.col("_mean")
-    advantage = F.coalesce(centred / (F.col("_std") + F.lit(STD_EPSILON)), F.lit(0.0)) if normalize else centred
-    return joined.withColumn("advantage", advantage).drop("_mean", "_std")
+    whole = Window.partitionBy(group)
+
+    def by_window(rows: DataFrame) -> DataFrame:
+        mean, std = F.avg(score).over(whole), F.stddev_samp(score).over(whole)
+        if group_size is not None:
+            n = _fail_unless_size(F.count("*").over(whole), F.col(group), group_size)
+            mean = F.when(n > 0, mean)  # the check rides on a value every row needs
+        return rows.withColumn("advantage", _advantage(score, mean, std, normalize))
+
+    hot = [] if group_size is not None else hot_keys(df, group, min_hot_rows)
+    if not hot:
+        return by_window(df)
+    is_hot = F.coalesce(F.col(group).isin(hot), F.lit(False))
+    large = df.where(is_hot)
+    stats = large.groupBy(group).agg(F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std"))
+    advantage = _advantage(score, F.col("_mean"), F.col("_std"), normalize)
+    from_stats = large.join(F.broadcast(stats), group).withColumn("advantage", advantage)
+    return by_window(df.where(~is_hot)).unionByName(from_stats.drop("_mean", "_std"))
 
 
 def broadcast_advantage(df: DataFrame, mask: str, advantage: str = "advantage", out: str = "advantages") -> DataFrame:

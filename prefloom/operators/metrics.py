@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.operators.ordering import RANGE_BUCKETS, range_bucket
+from prefloom.operators.ordering import ROWS_PER_BUCKET, range_bucket
 
 
 def is_cadence_step(step: Column, every: int, offset: int = 1, last_step: int | None = None) -> Column:
@@ -23,7 +23,9 @@ def long_metrics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return df.select("run", "step", *values).unpivot(["run", "step"], list(metrics), "metric", "value")
 
 
-def best_so_far(df: DataFrame, loss: str, run: str = "run", step: str = "step", buckets: int = RANGE_BUCKETS) -> DataFrame:
+def best_so_far(
+    df: DataFrame, loss: str, run: str = "run", step: str = "step", rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Rows whose loss is strictly below every earlier loss of their run.
 
     The steps are cut into ranges. A row that does not beat the best of the earlier ranges is
@@ -31,7 +33,7 @@ def best_so_far(df: DataFrame, loss: str, run: str = "run", step: str = "step",
     be of any length without one task reading all of it.
     """
     finite = df.where(F.col(loss) < F.lit(float("inf")))  # neither NULL nor NaN can be a best
-    marked = finite.withColumn("_bucket", range_bucket(df, step, buckets))
+    marked = finite.withColumn("_bucket", range_bucket(finite, step, rows_per_bucket))
     lows = marked.groupBy(run, "_bucket").agg(F.min(loss).alias("_low"))
     earlier = Window.partitionBy(run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bars = lows.select(run, "_bucket", F.min("_low").over(earlier).alias("_bar"))

@@ -12,8 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefloom.operators.skew import bounded_sample
+
 HASH_DIGITS = 4  # 65,536 buckets of the md5 key
-RANGE_BUCKETS = 4096
+ROWS_PER_BUCKET = 100_000
+MIN_BUCKETS = 16
+MAX_BUCKETS = 16_384
 SMALL_LIMIT = 10_000
 
 
@@ -55,19 +59,21 @@ def shuffled_positions(
     return _positions(keyed, bucket, ["_key", id_column], by, name).drop("_key")
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = RANGE_BUCKETS) -> Column:
-    """A column numbering equal-sized ranges of a numeric or timestamp ``key`` in its order.
+def range_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    """A column numbering about equal ranges of a numeric or timestamp ``key`` in its order.
 
-    Reads the key once to find at most ``buckets`` bounds, which then are constants of the
-    plan, so every use of the column and every repeated task sees the same ranges.
+    The bounds come from a sample of the key, as in a range-partitioned sort, and then are
+    constants of the plan: every use of the column and every repeated task sees the same ranges.
     """
     kind = df.schema[key].dataType.typeName()
     if kind in ("string", "binary", "boolean", "array", "map", "struct"):
         raise TypeError(f"{key!r} has type {kind}; order by a number or time, or use the seeded shuffle")
     value = F.col(key).cast("double")
-    shares = [i / buckets for i in range(1, buckets)]
-    shares_column = F.split(F.lit(",".join(map(str, shares))), ",").cast("array<double>")
-    found = df.agg(F.percentile_approx(value, shares_column, buckets * 10).alias("bounds")).first()["bounds"]
+    sample, fraction = bounded_sample(df.select(value.alias("value")))
+    n = sample.count() / fraction
+    buckets = int(min(max(n // rows_per_bucket, MIN_BUCKETS), MAX_BUCKETS))
+    shares = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
+    found = sample.agg(F.percentile_approx("value", shares, buckets * 16).alias("bounds")).first()["bounds"]
     bounds = sorted(set(found or []))
     if not bounds:
         return F.lit(0)
@@ -82,9 +88,11 @@ def range_bucket(df: DataFrame, key: str, buckets: int = RANGE_BUCKETS) -> Colum
     return F.aggregate(F.array(*[F.lit(p) for p in powers]), F.lit(0), descend)
 
 
-def ordered_positions(df: DataFrame, key: str, name: str = "position", buckets: int = RANGE_BUCKETS) -> DataFrame:
+def ordered_positions(
+    df: DataFrame, key: str, name: str = "position", rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """0-based position of each row in the order of a unique numeric or timestamp key."""
-    return _positions(df, range_bucket(df, key, buckets), [key], (), name)
+    return _positions(df, range_bucket(df, key, rows_per_bucket), [key], (), name)
 
 
 def assign_batches(

@@ -1,53 +1,77 @@
-"""Joins that hold when one key owns a large share of the rows."""
+"""Joins and groups that hold when one key owns a large share of the rows.
+
+Hot keys are found on a sample of the key column; which keys count as hot decides how rows
+travel, never what the result is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than
-# HOT_SHARE hot keys whatever the data size, and a list of them may always be broadcast.
+# A key is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys
+# can be hot whatever the data size, and anything unique per hot key may be broadcast.
 HOT_SHARE = 1024
-# Below this many rows a key never needs splitting.
+# A key with fewer rows than this never needs special care.
 HOT_ROWS = 100_000
+SAMPLE_ROWS = 1_000_000
+
+
+def bounded_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, float]:
+    """About ``rows`` rows of ``df`` and the fraction they are; all of a smaller one."""
+    n = df.count()
+    if n <= rows:
+        return df, 1.0
+    fraction = rows / n
+    return df.sample(fraction, seed=17), fraction
+
+
+def frequent_keys(sample: DataFrame, key: str, fraction: float, min_rows: int = HOT_ROWS) -> list:
+    """Keys that hold more than 1/HOT_SHARE of a sample and stand for more than ``min_rows`` rows."""
+    counts = sample.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    share = F.lit(HOT_SHARE) * F.col("_n") > counts.agg(F.sum("_n")).scalar()
+    hot = counts.where(share & (F.col("_n") > min_rows * fraction)).limit(HOT_SHARE)
+    return [row[0] for row in hot.select(key).collect()]
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hot keys of a ``(keys..., n)`` table with the number of slices to cut each into."""
-    total = counts.agg(F.sum("n")).scalar()
-    share = F.col("n") * F.lit(HOT_SHARE) / total
-    hot = counts.where((F.col("n") > min_rows) & (share > 1))
-    return hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(share).cast("int").alias("_slices"))
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
+    """The hot keys of a table; reads nothing but the key column."""
+    keys = df.select(key)
+    sample, fraction = bounded_sample(keys)
+    if fraction == 1.0 and keys.limit(min_rows + 1).count() <= min_rows:
+        return []
+    return frequent_keys(sample, key, fraction, min_rows)
 
 
 def join_unique(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    counts: DataFrame,
-    spread_by: Sequence[str],
-    how: str = "inner",
-    min_rows: int = HOT_ROWS,
+    rows: DataFrame, lookup: DataFrame, key: str, hot: Sequence, spread_by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join many ``rows`` to a ``lookup`` with unique keys, cutting hot keys into slices.
+    """Join ``rows`` to a ``lookup`` with unique keys, without sending a hot key to one task.
 
-    ``counts`` is the ``(keys..., n)`` table of the rows. The rows of a hot key are dealt out by
-    a hash of ``spread_by``, which is stable when a task runs again, and the lookup row of that
-    key is repeated once per slice; every other key keeps one slice. The result is that of a
-    plain join.
+    Rows of the ``hot`` keys take their values from a broadcast of those few lookup rows, and
+    pass the shuffle of the join under a salt (a hash of ``spread_by``, the same when a task
+    runs again) that no lookup row has. All other rows join as usual.
     """
-    hot = F.broadcast(hot_keys(counts, keys, min_rows))
-
-    def mark(side: DataFrame) -> DataFrame:
-        matches: Column = F.lit(True)
-        for key in keys:
-            matches = matches & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
-        return side.join(hot, matches, "left").drop(*[f"_hot_{k}" for k in keys])
-
-    dealt = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_slices"), F.lit(1))).cast("int")
-    left = mark(rows).withColumn("_slice", dealt).drop("_slices")
-    slices = F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)
-    right = mark(lookup).withColumn("_slice", F.explode(slices)).drop("_slices")
-    return left.join(right, [*keys, "_slice"], how).drop("_slice")
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join {how!r}")
+    if not hot:
+        return rows.join(lookup, key, how)
+    values = [c for c in lookup.columns if c != key]
+    is_hot = F.col(key).isin(list(hot))
+    few = lookup.where(is_hot).select(
+        F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot_found")
+    )
+    rest = lookup.where(~is_hot).select(
+        key, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_cold_{c}") for c in values], F.lit(True).alias("_cold_found")
+    )
+    # NULL keys match nothing and are spread like hot ones.
+    spread = F.coalesce(is_hot, F.lit(True))
+    salt = F.when(spread, F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", salt)
+    joined = marked.join(rest, [key, "_salt"], "left")
+    if how == "inner":
+        joined = joined.where(F.col("_hot_found") | F.col("_cold_found"))
+    picked = [F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values]
+    return joined.select(*[F.col(c) for c in rows.columns], *picked)

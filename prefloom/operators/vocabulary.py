@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from prefloom.functions.text import lstrip
 from prefloom.functions.tokens import WordTokenizer
-from prefloom.operators.skew import HOT_ROWS, join_unique
+from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, join_unique
 
 # Vocabularies up to this many entries are sent to every task.
 SMALL_VOCABULARY = 300_000
+# Sequences looked at to find tokens that make up a large share of a data set.
+SAMPLE_SEQUENCES = 10_000
 
 
 def build_vocabulary(texts: DataFrame, text: str, tokenizer: WordTokenizer = WordTokenizer()) -> DataFrame:
@@ -37,16 +39,16 @@ def decode(
     """The text of each token array without special tokens, words joined by blanks; (key, out).
 
     A vocabulary of at most ``small_vocabulary`` entries is looked up inside each task without
-    a shuffle. A larger one is joined token by token, with hot tokens cut into slices.
+    a shuffle. A larger one is joined token by token, hot tokens from a broadcast.
     """
-    head = vocabulary.limit(small_vocabulary + 1).toPandas()
-    if len(head) <= small_vocabulary:
-        return df.select(key, _lookup(head, specials, df)(F.col(tokens)).alias(out))
+    if vocabulary.limit(small_vocabulary + 1).count() <= small_vocabulary:
+        return df.select(key, _lookup(vocabulary.toPandas(), specials, df)(F.col(tokens)).alias(out))
+    sample, fraction = bounded_sample(df.select(tokens), SAMPLE_SEQUENCES)
+    hot = frequent_keys(sample.select(F.explode(tokens).alias("token_id")), "token_id", fraction, min_hot_rows)
     places = df.select(key, F.posexplode(tokens).alias("_pos", "token_id")).where(
         ~F.col("token_id").isin(*specials)
     )
-    counts = places.groupBy("token_id").agg(F.count("*").alias("n"))
-    named = join_unique(places, vocabulary, ["token_id"], counts, [key, "_pos"], min_rows=min_hot_rows)
+    named = join_unique(places, vocabulary, "token_id", hot, [key, "_pos"])
     words = F.array_sort(F.collect_list(F.struct("_pos", "token")))
     texts = named.groupBy(key).agg(F.array_join(F.transform(words, lambda w: w["token"]), " ").alias("_text"))
     return df.select(key).join(texts, key, "left").select(key, F.coalesce("_text", F.lit("")).alias(out))

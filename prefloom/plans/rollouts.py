@@ -21,7 +21,6 @@ def audit_rollouts(
     group_size: int | None = None,
     no_eos_penalty: float = -1.0,
     normalize: bool = True,
-    spread_by: Sequence[str] = ("response_no",),
 ) -> DataFrame:
     """Per response: its summed token reward, whether it was empty, and its advantage on each
     response token. ``token_scores`` and ``response_tokens`` are parallel arrays."""
@@ -29,7 +28,7 @@ def audit_rollouts(
     scored = rollouts.withColumn("score", reward).withColumn(
         "empty_response", ~F.exists("response_tokens", lambda t: t != pad_id)
     )
-    advantaged = group_advantage(scored, group, "score", normalize, group_size, spread_by)
+    advantaged = group_advantage(scored, group, "score", normalize, group_size)
     masked = advantaged.withColumn("response_mask", attention_mask(F.col("response_tokens"), pad_id))
     return broadcast_advantage(masked, "response_mask")
 
