@@ -22,31 +22,38 @@ from prefloom.sources.tables import spread_small
 from prefloom.streaming import jobs as st
 
 
-def count_words(row: dict) -> dict:
-    words = re.findall(r"\S+", row["text"], re.ASCII)
-    return {"doc_id": row["doc_id"], "n_words": len(words), "longest": max(map(len, words), default=0)}
+def stand_ins():
+    """Stand-ins for the functions a user brings. They are made inside a function, so that they
+    travel to the tasks by value and executors need not have this package.
 
+    ``count_words`` works on rows, ``make_scorer`` on token arrays (the mean of the ids modulo
+    1000, in thousandths), ``make_generator`` echoes a prompt twice, the second time shifted by
+    one.
+    """
 
-def make_scorer():
-    """A stand-in for a reward model: the mean of the ids modulo 1000, in thousandths."""
+    def count_words(row: dict) -> dict:
+        words = re.findall(r"\S+", row["text"], re.ASCII)
+        return {"doc_id": row["doc_id"], "n_words": len(words), "longest": max(map(len, words), default=0)}
 
-    def score(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ids: float(np.mean(np.asarray(ids) % 1000)) / 1000 if len(ids) else 0.0)
+    def make_scorer():
+        def score(tokens: pd.Series) -> pd.Series:
+            return tokens.map(lambda ids: float(np.mean(np.asarray(ids) % 1000)) / 1000 if len(ids) else 0.0)
 
-    return score
+        return score
 
+    def make_generator():
+        def generate(prompt):
+            ids = np.asarray(prompt, dtype="int64")
+            return [((ids + shift).tolist(), (-((ids + shift) % 10) / 10).tolist()) for shift in (0, 1)]
 
-SCORE = "coalesce(list_avg(list_transform(tokens, lambda t: t % 1000)) / 1000, 0)"
+        return generate
 
+    return count_words, make_scorer, make_generator
 
-def make_generator():
-    """A stand-in for a language model: two responses that echo the prompt, shifted by one."""
 
-    def generate(prompt):
-        ids = np.asarray(prompt, dtype="int64")
-        return [((ids + shift).tolist(), (-((ids + shift) % 10) / 10).tolist()) for shift in (0, 1)]
+COUNT_WORDS, MAKE_SCORER, MAKE_GENERATOR = stand_ins()
 
-    return generate
+SCORE = "coalesce(list_avg(list_transform(tokens, lambda t: t % 1000)) / 1000, 0)"
 
 
 def encoded_titles(spark, d):
@@ -62,7 +69,7 @@ def encoded_posts(spark, d):
     rf"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_words, coalesce(list_max(list_transform(regexp_extract_all(text, '\S+'), lambda w: len(w))), 0) AS longest FROM documents",
 )
 def map_rows_query(spark, d):
-    return map_rows(v.table(spark, d, "documents").select("doc_id", "text"), count_words, "doc_id bigint, n_words bigint, longest bigint")
+    return map_rows(v.table(spark, d, "documents").select("doc_id", "text"), COUNT_WORDS, "doc_id bigint, n_words bigint, longest bigint")
 
 
 @query(
@@ -70,7 +77,7 @@ def map_rows_query(spark, d):
     with_views(f", t AS (SELECT id, {sql_ids('post')} AS tokens FROM v_posts) SELECT id, {sql_round(SCORE)} AS score FROM t", "v_posts"),
 )
 def score_batches_query(spark, d):
-    scored = score_batches(encoded_posts(spark, d), "tokens", make_scorer)
+    scored = score_batches(encoded_posts(spark, d), "tokens", MAKE_SCORER)
     return scored.select("id", rounded("score").alias("score"))
 
 
@@ -84,7 +91,7 @@ def score_batches_query(spark, d):
     ),
 )
 def generate_batches_query(spark, d):
-    rows = generate_batches(encoded_titles(spark, d), "id", "tokens", make_generator)
+    rows = generate_batches(encoded_titles(spark, d), "id", "tokens", MAKE_GENERATOR)
     logp = F.aggregate("log_probs", F.lit(0.0), lambda s, x: s + x)
     return rows.select("id", "response_no", joined("response_tokens").alias("response_tokens"), rounded(logp).alias("logp"))
 
@@ -175,7 +182,7 @@ def prepare_comparisons_query(spark, d):
     ),
 )
 def score_and_centre_query(spark, d):
-    out = score_and_centre(encoded_posts(spark, d), "id", "tokens", make_scorer)
+    out = score_and_centre(encoded_posts(spark, d), "id", "tokens", MAKE_SCORER)
     return out.select("id", rounded("score").alias("score"), rounded("centred_score").alias("centred_score"))
 
 

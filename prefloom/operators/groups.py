@@ -47,10 +47,11 @@ def group_advantage(
 
     def by_window(rows: DataFrame) -> DataFrame:
         mean, std = F.avg(score).over(whole), F.stddev_samp(score).over(whole)
+        advantage = _advantage(score, mean, std, normalize)
         if group_size is not None:
             n = _fail_unless_size(F.count("*").over(whole), F.col(group), group_size)
-            mean = F.when(n > 0, mean)  # the check rides on a value every row needs
-        return rows.withColumn("advantage", _advantage(score, mean, std, normalize))
+            advantage = F.when(n > 0, advantage)
+        return rows.withColumn("advantage", advantage)
 
     hot = [] if group_size is not None else hot_keys(df, group, min_hot_rows)
     if not hot:

@@ -28,21 +28,23 @@ def bounded_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, f
     return df.sample(fraction, seed=17), fraction
 
 
-def frequent_keys(sample: DataFrame, key: str, fraction: float, min_rows: int = HOT_ROWS) -> list:
-    """Keys that hold more than 1/HOT_SHARE of a sample and stand for more than ``min_rows`` rows."""
+def frequent_keys(sample: DataFrame, key: str, sampled: int, fraction: float, min_rows: int = HOT_ROWS) -> list:
+    """Keys that hold more than 1/HOT_SHARE of the ``sampled`` rows and, the sample being
+    ``fraction`` of the table, stand for more than ``min_rows`` of its rows."""
+    least = max(sampled / HOT_SHARE, min_rows * fraction)
     counts = sample.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    share = F.lit(HOT_SHARE) * F.col("_n") > counts.agg(F.sum("_n")).scalar()
-    hot = counts.where(share & (F.col("_n") > min_rows * fraction)).limit(HOT_SHARE)
-    return [row[0] for row in hot.select(key).collect()]
+    return [row[0] for row in counts.where(F.col("_n") > least).limit(HOT_SHARE).select(key).collect()]
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
     """The hot keys of a table; reads nothing but the key column."""
     keys = df.select(key)
-    sample, fraction = bounded_sample(keys)
-    if fraction == 1.0 and keys.limit(min_rows + 1).count() <= min_rows:
+    n = keys.count()
+    if n <= min_rows:
         return []
-    return frequent_keys(sample, key, fraction, min_rows)
+    fraction = min(1.0, SAMPLE_ROWS / n)
+    sample = keys if fraction == 1.0 else keys.sample(fraction, seed=17)
+    return frequent_keys(sample, key, int(n * fraction), fraction, min_rows)
 
 
 def join_unique(

@@ -16,7 +16,7 @@ from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, joi
 # Vocabularies up to this many entries are sent to every task.
 SMALL_VOCABULARY = 300_000
 # Sequences looked at to find tokens that make up a large share of a data set.
-SAMPLE_SEQUENCES = 10_000
+SAMPLE_SEQUENCES = 2_000
 
 
 def build_vocabulary(texts: DataFrame, text: str, tokenizer: WordTokenizer = WordTokenizer()) -> DataFrame:
@@ -44,14 +44,14 @@ def decode(
     if vocabulary.limit(small_vocabulary + 1).count() <= small_vocabulary:
         return df.select(key, _lookup(vocabulary.toPandas(), specials, df)(F.col(tokens)).alias(out))
     sample, fraction = bounded_sample(df.select(tokens), SAMPLE_SEQUENCES)
-    hot = frequent_keys(sample.select(F.explode(tokens).alias("token_id")), "token_id", fraction, min_hot_rows)
-    places = df.select(key, F.posexplode(tokens).alias("_pos", "token_id")).where(
-        ~F.col("token_id").isin(*specials)
-    )
-    named = join_unique(places, vocabulary, "token_id", hot, [key, "_pos"])
-    words = F.array_sort(F.collect_list(F.struct("_pos", "token")))
-    texts = named.groupBy(key).agg(F.array_join(F.transform(words, lambda w: w["token"]), " ").alias("_text"))
-    return df.select(key).join(texts, key, "left").select(key, F.coalesce("_text", F.lit("")).alias(out))
+    sampled = sample.agg(F.sum(F.size(tokens))).first()[0] or 0
+    hot = frequent_keys(sample.select(F.explode(tokens).alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
+    places = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token_id"))
+    plain = vocabulary.where(~F.col("token_id").isin(*specials))
+    named = join_unique(places, plain, "token_id", hot, [key, "_pos"], how="left")
+    # Tokens without a word count as NULL, which collect_list leaves out.
+    words = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))))
+    return named.groupBy(key).agg(F.array_join(F.transform(words, lambda w: w["token"]), " ").alias(out))
 
 
 def _lookup(vocabulary: pd.DataFrame, specials: Sequence[int], df: DataFrame):
