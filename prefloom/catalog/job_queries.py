@@ -182,7 +182,7 @@ def prepare_comparisons_query(spark, d):
     ),
 )
 def score_and_centre_query(spark, d):
-    out = score_and_centre(encoded_posts(spark, d), "id", "tokens", MAKE_SCORER)
+    out = score_and_centre(encoded_posts(spark, d), "tokens", MAKE_SCORER)
     return out.select("id", rounded("score").alias("score"), rounded("centred_score").alias("centred_score"))
 
 

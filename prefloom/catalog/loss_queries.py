@@ -42,12 +42,8 @@ def tokens(spark, d):
 
 def wide_pairs(spark, d):
     """(pair_id, policy_chosen, ref_chosen, policy_rejected, ref_rejected)."""
-    sides = v.pair_sides(spark, d).withColumn("logps", F.struct("policy_logp", "ref_logp"))
-    pairs = pr.unstack_pairs(sides, ["pair_id"], "logps")
-    return pairs.select(
-        "pair_id",
-        *[F.col(f"{side}.{model}_logp").alias(f"{model}_{side}") for side in pr.SIDES for model in ("policy", "ref")],
-    )
+    sides = v.pair_sides(spark, d).withColumnsRenamed({"policy_logp": "policy", "ref_logp": "ref"})
+    return pr.unstack_pairs(sides, ["pair_id"], "policy", "ref")
 
 
 @query("pair_loss", with_views(f" SELECT pair_id, {sql_round(sql_nls('chosen - rejected'))} AS loss FROM v_pairs", "v_pairs"))

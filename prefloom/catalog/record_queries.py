@@ -216,13 +216,13 @@ def pick_chosen_rejected_query(spark, d):
     with_views(
         f", r AS (SELECT {ROUTED} AS split, unnest([text0, text1]) AS t FROM v_comparisons), "
         f"n AS (SELECT split, len({sql_words('t')}) + 1 AS l FROM r) "
-        f"SELECT split, count(*) AS n_responses, max(l)::INT AS max_length, {sql_round('avg(l)')} AS mean_length FROM n GROUP BY split",
+        f"SELECT split, count(*) AS n_responses, max(l)::INT AS max_length, {sql_round('avg(l)')} AS mean_length, {sql_round('quantile_cont(l, 0.99)')} AS p99_length FROM n GROUP BY split",
         "v_comparisons",
     ),
 )
 def response_length_stats_query(spark, d):
     stats = rec.response_length_stats(rec.route_split(v.comparisons(spark, d)), TOKENIZER)
-    return stats.select("split", "n_responses", "max_length", rounded("mean_length").alias("mean_length"))
+    return stats.withColumns({c: rounded(c) for c in ("mean_length", "p99_length")})
 
 
 @query("split_counts", with_views(f" SELECT {ROUTED} AS split, count(*) AS n FROM v_comparisons GROUP BY 1", "v_comparisons"))

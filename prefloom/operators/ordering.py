@@ -69,8 +69,7 @@ def range_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET
     if kind in ("string", "binary", "boolean", "array", "map", "struct"):
         raise TypeError(f"{key!r} has type {kind}; order by a number or time, or use the seeded shuffle")
     value = F.col(key).cast("double")
-    sample, fraction = bounded_sample(df.select(value.alias("value")))
-    n = sample.count() / fraction
+    sample, n, _ = bounded_sample(df.select(value.alias("value")))
     buckets = int(min(max(n // rows_per_bucket, MIN_BUCKETS), MAX_BUCKETS))
     shares = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
     found = sample.agg(F.percentile_approx("value", shares, buckets * 16).alias("bounds")).first()["bounds"]

@@ -21,10 +21,17 @@ def stack_pairs(df: DataFrame, keys: Sequence[str], **columns: tuple[str, str])
     return df.select(*keys, F.inline(F.array(*sides)))
 
 
-def unstack_pairs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Back to one row per pair, with the columns ``chosen`` and ``rejected``."""
+def unstack_pairs(df: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """Back to one row per pair: the columns ``chosen`` and ``rejected`` for one value, and
+    ``<value>_chosen`` and ``<value>_rejected`` for several."""
     return df.groupBy(*keys).agg(
-        *[F.first(F.when(F.col("side") == side, F.col(value)), ignorenulls=True).alias(side) for side in SIDES]
+        *[
+            F.first(F.when(F.col("side") == side, F.col(value)), ignorenulls=True).alias(
+                side if len(values) == 1 else f"{value}_{side}"
+            )
+            for side in SIDES
+            for value in values
+        ]
     )
 
 

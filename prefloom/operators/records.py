@@ -83,11 +83,13 @@ def response_length_stats(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
             )
         ).alias("length"),
     )
-    return lengths.groupBy("split").agg(
-        F.count("*").alias("n_responses"),
+    # Lengths repeat, so a table of their counts is small and still exact.
+    histogram = lengths.groupBy("split", "length").agg(F.count("*").alias("n"))
+    return histogram.groupBy("split").agg(
+        F.sum("n").alias("n_responses"),
         F.max("length").alias("max_length"),
-        F.avg("length").alias("mean_length"),
-        F.percentile_approx("length", 0.99).alias("p99_length"),
+        (F.sum(F.col("n") * F.col("length")) / F.sum("n")).alias("mean_length"),
+        F.percentile("length", 0.99, F.col("n")).alias("p99_length"),
     )
 
 

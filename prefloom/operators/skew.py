@@ -19,13 +19,13 @@ HOT_ROWS = 100_000
 SAMPLE_ROWS = 1_000_000
 
 
-def bounded_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, float]:
-    """About ``rows`` rows of ``df`` and the fraction they are; all of a smaller one."""
+def bounded_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int, float]:
+    """About ``rows`` rows of ``df`` (all of a smaller one), the row count of ``df``, and the
+    fraction the sample is of it."""
     n = df.count()
     if n <= rows:
-        return df, 1.0
-    fraction = rows / n
-    return df.sample(fraction, seed=17), fraction
+        return df, n, 1.0
+    return df.sample(rows / n, seed=17), n, rows / n
 
 
 def frequent_keys(sample: DataFrame, key: str, sampled: int, fraction: float, min_rows: int = HOT_ROWS) -> list:
@@ -38,13 +38,8 @@ def frequent_keys(sample: DataFrame, key: str, sampled: int, fraction: float, mi
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
     """The hot keys of a table; reads nothing but the key column."""
-    keys = df.select(key)
-    n = keys.count()
-    if n <= min_rows:
-        return []
-    fraction = min(1.0, SAMPLE_ROWS / n)
-    sample = keys if fraction == 1.0 else keys.sample(fraction, seed=17)
-    return frequent_keys(sample, key, int(n * fraction), fraction, min_rows)
+    sample, n, fraction = bounded_sample(df.select(key))
+    return [] if n <= min_rows else frequent_keys(sample, key, int(n * fraction), fraction, min_rows)
 
 
 def join_unique(

@@ -43,7 +43,7 @@ def decode(
     """
     if vocabulary.limit(small_vocabulary + 1).count() <= small_vocabulary:
         return df.select(key, _lookup(vocabulary.toPandas(), specials, df)(F.col(tokens)).alias(out))
-    sample, fraction = bounded_sample(df.select(tokens), SAMPLE_SEQUENCES)
+    sample, _, fraction = bounded_sample(df.select(tokens), SAMPLE_SEQUENCES)
     sampled = sample.agg(F.sum(F.size(tokens))).first()[0] or 0
     hot = frequent_keys(sample.select(F.explode(tokens).alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
     places = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token_id"))

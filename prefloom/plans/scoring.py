@@ -7,17 +7,17 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from prefloom.operators.scoring import attach_scores, centre_scores, score_batches
+from prefloom.operators.scoring import centre_scores, score_batches
 from prefloom.session import cut_lineage
 
 
 def score_and_centre(
-    df: DataFrame, key: str, tokens: str, make_scorer: Callable[[], Callable[[pd.Series], pd.Series]]
+    df: DataFrame, tokens: str, make_scorer: Callable[[], Callable[[pd.Series], pd.Series]]
 ) -> DataFrame:
     """The rows with ``score`` and ``centred_score``.
 
-    The model runs once per row: its scores are written to the shared folder as (key, score),
-    which the mean and the join back both read.
+    The scored rows are written to the shared folder once, as the result needs them anyway. The
+    mean reads only the score column of what was written, and centring is a projection of it:
+    the model runs once per row, and nothing is joined or shuffled.
     """
-    scores = cut_lineage(score_batches(df.select(key, tokens), tokens, make_scorer).select(key, "score"))
-    return attach_scores(df, centre_scores(scores), key, "score", "centred_score")
+    return centre_scores(cut_lineage(score_batches(df, tokens, make_scorer)))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from prefloom.operators.metrics import long_metrics, reward_report
 
+SMALL_BYTES = 256 << 20
+
 
 def read_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A stored table, or one split of it; only that split's folder is read."""
@@ -18,14 +20,11 @@ def read_table(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df if split is None else df.where(F.col("split") == split)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small input out to all cores before work that is heavy per row. Inputs that fill
-    the cores with splits of their own are left as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+def spread_small(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Deal a small input, which may well lie in a single row group, out to all cores before
+    work that is heavy per row. Larger inputs have splits enough and are never shuffled."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(size) < cores * split_bytes else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) < small_bytes else df
 
 
 def versioned_path(base: str, version: str) -> str:

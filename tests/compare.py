@@ -73,7 +73,7 @@ if __name__ == "__main__":
             else:
                 verdict = differences(session, con, folder, entry.queries()[name], sql)
         except Exception as error:  # report and go on with the next query
-            verdict = f"{type(error).__name__}: {str(error)[:1500]}"
+            verdict = f"{type(error).__name__}: {str(error)[:400]}"
         failed += verdict is not None and not verdict.endswith("no SQL")
         print(f"{name:28s} {time.time() - start:6.2f}s  {verdict or 'ok'}", flush=True)
     print(f"{len(names) - failed} of {len(names)} agree")

@@ -18,7 +18,7 @@ def tokens(spark, n=50):
 
 
 def test_scores_and_centring(spark):
-    rows = score_and_centre(tokens(spark), "id", "tokens", sum_scorer()).collect()
+    rows = score_and_centre(tokens(spark), "tokens", sum_scorer()).collect()
     assert len(rows) == 50 and all(r.score == r.id + 1 for r in rows)
     assert sum(r.centred_score for r in rows) == pytest.approx(0)
 

@@ -57,11 +57,7 @@ def test_scores_reports_and_metrics(spark, tmp_path):
 
 def test_small_inputs_are_spread(spark):
     assert tb.spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
-    try:
-        assert tb.spread_small(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 1
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tb.spread_small(spark.range(10).coalesce(1), small_bytes=1).rdd.getNumPartitions() == 1
 
 
 def test_scratch_lies_in_the_shared_folder(spark):
