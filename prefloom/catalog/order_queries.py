@@ -31,18 +31,26 @@ def check_group_size_query(spark, d):
     return gr.check_group_size(v.rollouts(spark, d), "prompt_id", 8)
 
 
+def advantages(spark, d, normalize):
+    rows = v.rollouts(spark, d).select("event_id", "prompt_id", "score")
+    out = gr.group_advantage(rows, "prompt_id", normalize=normalize)
+    return out.select("event_id", "prompt_id", rounded("advantage").alias("advantage"))
+
+
 @query(
     "group_advantage",
-    with_views(
-        f", g AS ({GROUPED}) SELECT event_id, prompt_id, {sql_round('centred')} AS centred, {sql_round('advantage')} AS advantage FROM g",
-        "v_rollouts",
-    ),
+    with_views(f", g AS ({GROUPED}) SELECT event_id, prompt_id, {sql_round('advantage')} AS advantage FROM g", "v_rollouts"),
 )
 def group_advantage_query(spark, d):
-    rows = v.rollouts(spark, d).select("event_id", "prompt_id", "response_no", "score")
-    out = gr.group_advantage(rows, "prompt_id", group_size=8)
-    centred = gr.group_advantage(out.withColumnRenamed("advantage", "normalized"), "prompt_id", normalize=False)
-    return centred.select("event_id", "prompt_id", rounded("advantage").alias("centred"), rounded("normalized").alias("advantage"))
+    return advantages(spark, d, normalize=True)
+
+
+@query(
+    "group_advantage_centred",
+    with_views(f", g AS ({GROUPED}) SELECT event_id, prompt_id, {sql_round('centred')} AS advantage FROM g", "v_rollouts"),
+)
+def group_advantage_centred_query(spark, d):
+    return advantages(spark, d, normalize=False)
 
 
 @query(
@@ -108,15 +116,21 @@ def seeded_shuffle_query(spark, d):
     return od.seeded_shuffle(keyed, "event_id", seed=42, epoch=1)
 
 
-@query(
-    "assign_batches",
-    f"SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 24 AS batch_id, "
-    f"(row_number() OVER (ORDER BY {sql_key(7, '0')}, event_id) - 1) // 24 AS shuffled_batch_id FROM events",
-)
+def sql_batches(order: str) -> str:
+    return (
+        f"WITH p AS (SELECT event_id, row_number() OVER (ORDER BY {order}) - 1 AS position FROM events) "
+        "SELECT *, position // 24 AS batch_id FROM p"
+    )
+
+
+@query("assign_batches", sql_batches("event_id"))
 def assign_batches_query(spark, d):
-    in_order = od.assign_batches(events(spark, d), 24, "event_id").drop("position")
-    shuffled = od.assign_batches(in_order.withColumnRenamed("batch_id", "ordered"), 24, "event_id", seed=7)
-    return shuffled.select("event_id", F.col("ordered").alias("batch_id"), F.col("batch_id").alias("shuffled_batch_id"))
+    return od.assign_batches(events(spark, d), 24, "event_id")
+
+
+@query("assign_batches_shuffled", sql_batches(f"{sql_key(7, '0')}, event_id"))
+def assign_batches_shuffled_query(spark, d):
+    return od.assign_batches(events(spark, d), 24, "event_id", seed=7)
 
 
 @query(

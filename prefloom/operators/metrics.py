@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.operators.ordering import ROWS_PER_BUCKET, range_bucket
+from prefloom.session import cut_lineage
 
 
 def is_cadence_step(step: Column, every: int, offset: int = 1, last_step: int | None = None) -> Column:
@@ -28,15 +29,16 @@ def best_so_far(
 ) -> DataFrame:
     """Rows whose loss is strictly below every earlier loss of their run.
 
-    The steps are cut into ranges. A row that does not beat the best of the earlier ranges is
-    dropped before anything is sorted; what is left is compared inside its range. So a run may
-    be of any length without one task reading all of it.
+    The steps are cut into ranges, and the best of the earlier ranges is written down for each:
+    a table whose size is then known, so that it is broadcast while it is small. A row that does
+    not beat it is dropped before anything is shuffled; what is left is compared inside its
+    range. So a run may be of any length without one task reading all of it.
     """
     finite = df.where(F.col(loss) < F.lit(float("inf")))  # neither NULL nor NaN can be a best
     marked = finite.withColumn("_bucket", range_bucket(finite, step, rows_per_bucket))
     lows = marked.groupBy(run, "_bucket").agg(F.min(loss).alias("_low"))
     earlier = Window.partitionBy(run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bars = lows.select(run, "_bucket", F.min("_low").over(earlier).alias("_bar"))
+    bars = cut_lineage(lows.select(run, "_bucket", F.min("_low").over(earlier).alias("_bar")))
     beats_bar = F.col("_bar").isNull() | (F.col(loss) < F.col("_bar"))
     left = marked.join(bars, [run, "_bucket"]).where(beats_bar)
     inside = Window.partitionBy(run, "_bucket").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
