@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from prefloom.functions.text import Template
 from prefloom.schemas import EOS_TEXT, PAD_TEXT
 
+# What parts words; a no-break space, say, does not.
+WORD_BLANKS = " \t\n\x0b\x0c\r"
+
 IDS = T.ArrayType(T.LongType(), containsNull=False)
 
 
@@ -82,11 +85,11 @@ class WordTokenizer:
         incomplete line.
         """
         before, after = Template.parse(template).around(cut_field)
-        if len(cut_text) != 1 or not cut_text.isspace():
+        if len(cut_text) != 1 or cut_text not in WORD_BLANKS:
             raise ValueError("word tokens can only be cut at a single blank character")
         head_literal, tail_literal = before.parts[-1][0], after.parts[0][0] if after.parts else ""
-        touches_head = head_literal and not head_literal[-1].isspace()
-        touches_tail = tail_literal and not tail_literal[0].isspace()
+        touches_head = head_literal and head_literal[-1] not in WORD_BLANKS
+        touches_tail = tail_literal and tail_literal[0] not in WORD_BLANKS
         glued = not head_literal and len(before.parts) > 1 or not tail_literal and len(after.parts) > 0
         if touches_head or touches_tail or glued:
             raise ValueError(f"{cut_field!r} must stand between blanks in the template")

@@ -17,6 +17,8 @@ HOT_SHARE = 1024
 # A key with fewer rows than this never needs special care.
 HOT_ROWS = 100_000
 SAMPLE_ROWS = 1_000_000
+# What the rows of one hot key are cut into for a join.
+SLICES = 256
 
 
 def bounded_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int, float]:
@@ -47,28 +49,16 @@ def join_unique(
 ) -> DataFrame:
     """Join ``rows`` to a ``lookup`` with unique keys, without sending a hot key to one task.
 
-    Rows of the ``hot`` keys take their values from a broadcast of those few lookup rows, and
-    pass the shuffle of the join under a salt (a hash of ``spread_by``, the same when a task
-    runs again) that no lookup row has. All other rows join as usual.
+    The rows of a hot key are dealt out to slices by a hash of ``spread_by``, which stays the
+    same when a task runs again, and its lookup row is repeated once per slice.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join {how!r}")
     if not hot:
         return rows.join(lookup, key, how)
-    values = [c for c in lookup.columns if c != key]
     is_hot = F.col(key).isin(list(hot))
-    few = lookup.where(is_hot).select(
-        F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot_found")
-    )
-    rest = lookup.where(~is_hot).select(
-        key, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_cold_{c}") for c in values], F.lit(True).alias("_cold_found")
-    )
-    # NULL keys match nothing and are spread like hot ones.
-    spread = F.coalesce(is_hot, F.lit(True))
-    salt = F.when(spread, F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0))
-    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", salt)
-    joined = marked.join(rest, [key, "_salt"], "left")
-    if how == "inner":
-        joined = joined.where(F.col("_hot_found") | F.col("_cold_found"))
-    picked = [F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values]
-    return joined.select(*[F.col(c) for c in rows.columns], *picked)
+    # NULL keys match nothing and are dealt out as well.
+    dealt = F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)).cast("int")
+    sliced = rows.withColumn("_slice", F.when(F.coalesce(is_hot, F.lit(True)), dealt).otherwise(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    return sliced.join(lookup.withColumn("_slice", F.explode(copies)), [key, "_slice"], how).drop("_slice")

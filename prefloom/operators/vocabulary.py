@@ -13,8 +13,9 @@ from prefloom.functions.text import lstrip
 from prefloom.functions.tokens import WordTokenizer
 from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, join_unique
 
-# Vocabularies up to this many entries are sent to every task.
+# Vocabularies up to this many entries and bytes are sent to every task.
 SMALL_VOCABULARY = 300_000
+SMALL_VOCABULARY_BYTES = 64 << 20
 # Sequences looked at to find tokens that make up a large share of a data set.
 SAMPLE_SEQUENCES = 2_000
 
@@ -38,10 +39,11 @@ def decode(
 ) -> DataFrame:
     """The text of each token array without special tokens, words joined by blanks; (key, out).
 
-    A vocabulary of at most ``small_vocabulary`` entries is looked up inside each task without
-    a shuffle. A larger one is joined token by token, hot tokens from a broadcast.
+    A vocabulary of at most ``small_vocabulary`` entries (and a size to match) is looked up
+    inside each task without a shuffle. A larger one is joined token by token.
     """
-    if vocabulary.limit(small_vocabulary + 1).count() <= small_vocabulary:
+    entries, size = vocabulary.limit(small_vocabulary + 1).agg(F.count("*"), F.sum(F.octet_length("token"))).first()
+    if entries <= small_vocabulary and (size or 0) <= SMALL_VOCABULARY_BYTES:
         return df.select(key, _lookup(vocabulary.toPandas(), specials, df)(F.col(tokens)).alias(out))
     sample, _, fraction = bounded_sample(df.select(tokens), SAMPLE_SEQUENCES)
     sampled = sample.agg(F.sum(F.size(tokens))).first()[0] or 0

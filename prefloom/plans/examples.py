@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.sequences import fix_width, mask_pad_labels, mask_query_labels, pad
-from prefloom.functions.text import format_response, join_query_response, lstrip
-from prefloom.functions.tokens import CallableTokenizer, Tokenizer, WordTokenizer
+from prefloom.functions.text import format_response, join_query_response, lstrip, strip
+from prefloom.functions.tokens import WORD_BLANKS, CallableTokenizer, Tokenizer, WordTokenizer
 from prefloom.operators.records import exclude_batches, pick_chosen_rejected, route_split
 from prefloom.schemas import PairParams, PromptParams, SftParams
 
@@ -44,21 +44,18 @@ def query_columns(params: PromptParams, tokenizer: Tokenizer) -> dict[str, Colum
 def joint_ids(response: str, response_ids: str, params: SftParams | PairParams, tokenizer: Tokenizer) -> Column:
     """Ids of ``query.strip() + response``, up to the total width.
 
-    Word tokens of the two parts just follow each other where a blank parts them; the ids at
-    hand are then enough. Otherwise the joined text is encoded.
+    Word tokens of the two parts just follow each other where a blank parts them, and where
+    stripping the prompt took nothing but blanks between words (no special text either). The
+    ids at hand are then enough. Otherwise the joined text is encoded.
     """
     joined = tokenizer.encode(join_query_response(F.col("query"), F.col(response)), params.total_width)
     if isinstance(tokenizer, CallableTokenizer):
         return joined
-    separate = F.col(response).rlike(r"^\s") & (F.col("_prompt") == F.col("_prompt_plain"))
+    same_words = F.btrim(F.col("_prompt"), F.lit(WORD_BLANKS)) == strip(F.col("query"))
+    separate = F.col(response).rlike(r"^\s") & same_words
     return F.when(separate, F.slice(F.concat("_query_ids", response_ids), 1, params.total_width)).otherwise(joined)
 
 
-def _mark_plain(df: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    # A prompt that holds special texts loses them in ``query``, so its ids cannot be reused.
-    return df.withColumn("_prompt_plain", tokenizer.drop_specials(F.col("_prompt")))
-
-
 def _check_widths(params: SftParams | PairParams) -> None:
     if params.pad_side not in ("left", "right"):
         raise ValueError(f"Invalid padding side: {params.pad_side}")
@@ -78,7 +75,7 @@ def build_sft_examples(
     _check_widths(params)
     fields = {name: F.col(name) for name in ("subreddit", "title", "post")}
     response = format_response(F.col("summary"), leading_blank=True, eos_text=tokenizer.eos_text, null_text=params.null_text)
-    staged = _mark_plain(with_query(posts, fields, params, tokenizer), tokenizer).withColumn("response", response)
+    staged = with_query(posts, fields, params, tokenizer).withColumn("response", response)
     staged = staged.withColumn("_response_ids", tokenizer.encode(F.col("response"), params.total_width))
     staged = staged.withColumn("response_token_length", tokenizer.count(F.col("response")))
     staged = staged.withColumn("_ids", joint_ids("response", "_response_ids", params, tokenizer))
@@ -109,7 +106,7 @@ def build_preference_pairs(
     and ``status``."""
     _check_widths(params)
     fields = {name: F.col(f"info.{name}") for name in ("subreddit", "title", "post")}
-    staged = _mark_plain(with_query(pick_chosen_rejected(comparisons), fields, params, tokenizer), tokenizer)
+    staged = with_query(pick_chosen_rejected(comparisons), fields, params, tokenizer)
     for side in ("chosen", "rejected"):
         response = f"{side}_response"
         staged = staged.withColumn(

@@ -53,6 +53,15 @@ def test_special_texts_in_a_post_leave_the_query_text(spark):
     assert 1 in row.query_tokens
 
 
+def test_joint_tokens_are_those_of_the_joint_text(spark):
+    odd = ["\xa0x", "x\xa0", f"{EOS_TEXT}x", "x", "\x1cx y\x1f"]
+    params = SftParams(budget=30, total_width=50, template="{title}\n{post}", cut_field="post")
+    df = spark.createDataFrame([(str(i), "s", a, b, "sum") for i, (a, b) in enumerate((a, b) for a in odd for b in odd)], COLUMNS)
+    rows = build_sft_examples(df, params).withColumn("again", WordTokenizer().encode(F.col("query_and_response"))).collect()
+    assert len(rows) == 25
+    assert all(r.query_and_response_tokens == (r.again + [0] * 50)[:50] for r in rows)
+
+
 def test_one_pass_without_a_shuffle(spark):
     df = spark.createDataFrame([("1", "s", "t", "p", "a")], COLUMNS)
     plan = build_sft_examples(df)._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ FIELDS = ("subreddit", "title", "post")
 def words(text):
     for special in (EOS_TEXT, PAD_TEXT):
         text = text.replace(special, f" {special} ")
-    return text.split()
+    return re.findall(r"\S+", text, re.ASCII)
 
 
 def fit(fields, budget, cut_text="\n"):
@@ -36,7 +37,7 @@ def prompts(spark, rows, budget, tokenizer=TOKENIZER):
 
 
 def random_post(rng, specials=False):
-    pieces = ["a", "word", "b c", " ", "\n", "\n\n", "  x", "longer words here", "\t", ""]
+    pieces = ["a", "word", "b c", " ", "\n", "\n\n", "  x", "longer words here", "\t", "", "\xa0", "no\xa0break", "\x0b", "\x1c"]
     if specials:
         pieces += [EOS_TEXT, PAD_TEXT, "glued" + EOS_TEXT, EOS_TEXT + "tail", "x" + PAD_TEXT + "y"]
     return "".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(0, 40)))
