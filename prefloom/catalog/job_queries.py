@@ -108,8 +108,8 @@ PAD_LEFT = "CASE WHEN q IS NOT NULL THEN list_concat(" + sql_fill("0", "512 - le
         f"q2 AS (SELECT *, {sql_ids("whole")} AS b FROM q1), "
         f"q3 AS (SELECT *, {sql_fix_width('b', 575)} AS t FROM q2) "
         "SELECT id, CASE WHEN prompt IS NULL THEN 'over_budget' ELSE 'ok' END AS status, coalesce(query, '') AS query, "
-        f"{sql_joined(PAD_LEFT)} AS query_tokens, coalesce(len(q), -1) AS query_token_length_without_padding, response, "
-        f"{sql_joined(sql_fix_width('r', 63))} AS response_tokens, len(r) AS response_token_length, coalesce(whole, '') AS query_and_response, "
+        f"{sql_joined(PAD_LEFT)} AS query_tokens, coalesce(len(q), -1)::INT AS query_token_length_without_padding, response, "
+        f"{sql_joined(sql_fix_width('r', 63))} AS response_tokens, len(r)::INT AS response_token_length, coalesce(whole, '') AS query_and_response, "
         f"{sql_joined('t')} AS query_and_response_tokens, "
         f"{sql_joined('list_transform(t, lambda x, i: CASE WHEN i <= len(q) OR x = 0 THEN -100 ELSE x END)')} AS query_and_response_labels, "
         "len(r) <= 63 AS eos_kept FROM q3",
@@ -143,7 +143,7 @@ def sft_query(spark, d):
         f"q0 AS (SELECT id, split, prompt, {v.sql_lstrip('prompt')} AS query, chosen || '<|endoftext|>' AS cr, rejected || '<|endoftext|>' AS rr, {sql_ids('prompt')} AS q FROM fitted), "
         f"q1 AS (SELECT *, {v.sql_strip('query')} || cr AS qc, {v.sql_strip('query')} || rr AS qr FROM q0) "
         "SELECT id, split, CASE WHEN prompt IS NULL THEN 'over_budget' ELSE 'ok' END AS status, coalesce(query, '') AS query, "
-        f"{sql_joined(PAD_LEFT)} AS query_tokens, coalesce(len(q), -1) AS query_token_length_without_padding, "
+        f"{sql_joined(PAD_LEFT)} AS query_tokens, coalesce(len(q), -1)::INT AS query_token_length_without_padding, "
         f"cr AS chosen_response, {sql_joined(sql_fix_width(sql_ids('cr'), 133))} AS chosen_response_tokens, "
         f"rr AS rejected_response, {sql_joined(sql_fix_width(sql_ids('rr'), 133))} AS rejected_response_tokens, "
         f"coalesce(qc, '') AS query_and_chosen_response, {sql_joined(sql_fix_width(sql_ids('qc'), 645))} AS query_and_chosen_response_tokens, "

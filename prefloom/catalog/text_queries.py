@@ -63,7 +63,7 @@ def encode_query(spark, d):
 
 @query(
     "truncate_to_budget",
-    with_views(f", {v.sql_fitted('v_posts', 'id')} SELECT id, prompt, len({sql_words('prompt')}) AS n_tokens FROM fitted", "v_posts"),
+    with_views(f", {v.sql_fitted('v_posts', 'id')} SELECT id, prompt, len({sql_words('prompt')})::INT AS n_tokens FROM fitted", "v_posts"),
 )
 def truncate_query(spark, d):
     prompt = TOKENIZER.fit_prompt(PROMPT_TEMPLATE, _fields("subreddit", "title", "post"), 512)
@@ -94,7 +94,7 @@ def encode_fixed_query(spark, d):
     return v.posts(spark, d).select("id", joined(seq.fix_width(ids, 133, 0)).alias("tokens"))
 
 
-@query("token_length", with_views(f" SELECT id, len({sql_words('post')}) AS n_tokens, len({sql_words('title')}) AS n_title FROM v_posts", "v_posts"))
+@query("token_length", with_views(f" SELECT id, len({sql_words('post')})::INT AS n_tokens, len({sql_words('title')})::INT AS n_title FROM v_posts", "v_posts"))
 def token_length_query(spark, d):
     return v.posts(spark, d).select(
         "id", TOKENIZER.count(F.col("post")).alias("n_tokens"), seq.token_length(TOKENIZER.encode(F.col("title"))).alias("n_title")
@@ -143,7 +143,7 @@ def mask_pad_labels_query(spark, d):
     "attention_mask",
     with_views(
         f"{TOKEN_BASE}, p AS (SELECT id, list_concat({sql_fill('0', '512 - len(tokens)')}, tokens) AS t FROM b) "
-        "SELECT id, len(list_filter(t, lambda x: x <> 0)) AS n_true, array_to_string(list_transform(t, lambda x: CASE WHEN x <> 0 THEN '1' ELSE '0' END), '') AS bits FROM p",
+        "SELECT id, len(list_filter(t, lambda x: x <> 0))::INT AS n_true, array_to_string(list_transform(t, lambda x: CASE WHEN x <> 0 THEN '1' ELSE '0' END), '') AS bits FROM p",
         "v_posts",
     ),
 )
