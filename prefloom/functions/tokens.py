@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefloom.functions.sequences import let
 from prefloom.functions.text import Template
 from prefloom.schemas import EOS_TEXT, PAD_TEXT
 
@@ -45,7 +46,7 @@ class WordTokenizer:
         return text
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(self._spaced(text), F.lit(r"(\S+)"), 1)
+        return F.regexp_extract_all(self._spaced(text), F.lit(r"\S+"), 0)
 
     def word_id(self, word: Column) -> Column:
         hashed = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") + F.lit(self.first_word_id)
@@ -98,14 +99,17 @@ class WordTokenizer:
         room = F.lit(budget) - self.count(head) - self.count(tail)
 
         specials = "|".join(re.escape(s) for s in self.specials)
-        token = rf"(?:{specials}|(?:(?!{specials})\S)++)"
+        starts = "".join(sorted({re.escape(s[0]) for s in self.specials}))
+        # Only a character that may start a special text needs a look ahead.
+        token = rf"(?:{specials}|(?:[^\s{starts}]++|(?!{specials})[{starts}])++)"
         pattern = F.concat(F.lit(rf"^(\s*+(?:{token}\s*+){{0,"), F.greatest(room, F.lit(0)).cast("string"), F.lit("}+)"))
         kept = F.call_function("regexp_extract", field, pattern, F.lit(1))
 
         def shorten(kept: Column) -> Column:
+            whole = F.char_length(kept) == F.char_length(field)
             last_line = F.substring_index(kept, cut_text, -1)
             whole_lines = F.left(kept, F.char_length(kept) - F.char_length(last_line) - 1)
-            cut = F.when(F.contains(kept, F.lit(cut_text)), whole_lines)
+            cut = F.when(whole, kept).when(F.contains(kept, F.lit(cut_text)), whole_lines)
             rest = F.substr(field, F.char_length(kept) + 1)
             ends_in_word = kept.rlike(rf"\S$") & ~kept.rlike(rf"(?:{specials})$")
             for special in self.specials:
@@ -113,8 +117,7 @@ class WordTokenizer:
                 cut = cut.when(ends_in_word & F.startswith(rest, F.lit(special)), F.concat(kept, F.lit(special[:-1])))
             return cut.otherwise(kept)
 
-        cut = F.get(F.transform(F.array(kept), shorten), 0)
-        fitted = F.when(room < 0, F.lit(None).cast("string")).when(self.count(field) <= room, field).otherwise(cut)
+        fitted = F.when(room >= 0, let(kept, shorten))
         return F.concat(head, fitted, tail)
 
 

@@ -41,27 +41,31 @@ def group_advantage(
     Ordinary groups take one shuffle and a window. A group holding a large share of the rows is
     reduced by partial aggregates instead, and its mean and deviation go out with a broadcast,
     so its rows stay where they are. With ``group_size``, a group of any other size fails the
-    query; groups of a fixed size cannot be hot, so the look for hot ones is left out.
+    query.
     """
     whole = Window.partitionBy(group)
 
+    def checked(advantage: Column, n: Column) -> Column:
+        if group_size is None:
+            return advantage
+        return F.when(_fail_unless_size(n, F.col(group), group_size) > 0, advantage)
+
     def by_window(rows: DataFrame) -> DataFrame:
         mean, std = F.avg(score).over(whole), F.stddev_samp(score).over(whole)
         advantage = _advantage(score, mean, std, normalize)
-        if group_size is not None:
-            n = _fail_unless_size(F.count("*").over(whole), F.col(group), group_size)
-            advantage = F.when(n > 0, advantage)
-        return rows.withColumn("advantage", advantage)
+        return rows.withColumn("advantage", checked(advantage, F.count("*").over(whole)))
 
-    hot = [] if group_size is not None else hot_keys(df, group, min_hot_rows)
+    hot = hot_keys(df, group, min_hot_rows)
     if not hot:
         return by_window(df)
     is_hot = F.coalesce(F.col(group).isin(hot), F.lit(False))
     large = df.where(is_hot)
-    stats = large.groupBy(group).agg(F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std"))
+    stats = large.groupBy(group).agg(
+        F.count("*").alias("_n"), F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std")
+    )
     advantage = _advantage(score, F.col("_mean"), F.col("_std"), normalize)
-    from_stats = large.join(F.broadcast(stats), group).withColumn("advantage", advantage)
-    return by_window(df.where(~is_hot)).unionByName(from_stats.drop("_mean", "_std"))
+    from_stats = large.join(F.broadcast(stats), group).withColumn("advantage", checked(advantage, F.col("_n")))
+    return by_window(df.where(~is_hot)).unionByName(from_stats.drop("_n", "_mean", "_std"))
 
 
 def broadcast_advantage(df: DataFrame, mask: str, advantage: str = "advantage", out: str = "advantages") -> DataFrame:

@@ -54,6 +54,8 @@ def test_group_size_is_enforced(spark, failing):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 3.0)], "prompt_id int, score double")
     assert "group 1 has 1 responses, expected 2" in failing(gr.group_advantage(df, "prompt_id", group_size=2))
     assert "expected 2" in failing(gr.check_group_size(df, "prompt_id", 2))
+    large = spark.range(500).selectExpr("0 as prompt_id", "cast(id as double) as score")
+    assert "group 0 has 500 responses" in failing(gr.group_advantage(large, "prompt_id", group_size=2, min_hot_rows=100))
     assert gr.check_group_size(df.where("prompt_id = 2"), "prompt_id", 2).first().n == 2
 
 
