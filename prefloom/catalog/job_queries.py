@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prefloom.catalog import views as v
 from prefloom.catalog.record_queries import _PICKED, ROUTED, comparison_files
 from prefloom.catalog.registry import query
-from prefloom.catalog.views import TOKENIZER, joined, rounded, sql_fill, sql_fix_width, sql_ids, sql_joined, sql_round, sql_words, with_views
+from prefloom.catalog.views import TOKENIZER, joined, rounded, sql_fill, sql_fix_width, sql_ids, sql_joined, sql_round, with_views
 from prefloom.operators.scoring import generate_batches, map_rows, score_batches
 from prefloom.plans.examples import build_preference_pairs, build_sft_examples, prepare_comparisons
 from prefloom.plans.rollouts import audit_rollouts

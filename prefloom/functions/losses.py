@@ -105,10 +105,3 @@ def check_loss_mode(mode: str) -> str:
     if mode not in LOSS_MODES:
         raise ValueError(f"Invalid loss aggregation mode: {mode}")
     return mode
-
-
-def total(values: Column) -> Column:
-    """Sum of an array of doubles."""
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-

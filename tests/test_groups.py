@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from prefloom.operators import groups as gr
 from prefloom.operators.skew import hot_keys, join_unique
