@@ -35,15 +35,16 @@ def best_so_far(
     range. So a run may be of any length without one task reading all of it.
     """
     finite = df.where(F.col(loss) < F.lit(float("inf")))  # neither NULL nor NaN can be a best
-    marked = finite.withColumn("_bucket", range_bucket(finite, step, rows_per_bucket))
-    lows = marked.groupBy(run, "_bucket").agg(F.min(loss).alias("_low"))
-    earlier = Window.partitionBy(run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bars = cut_lineage(lows.select(run, "_bucket", F.min("_low").over(earlier).alias("_bar")))
+    marked = finite.withColumns({"_run": F.struct(run), "_bucket": range_bucket(finite, step, rows_per_bucket)})
+    lows = marked.groupBy("_run", "_bucket").agg(F.min(loss).alias("_low"))
+    earlier = Window.partitionBy("_run").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bars = cut_lineage(lows.select("_run", "_bucket", F.min("_low").over(earlier).alias("_bar")))
     beats_bar = F.col("_bar").isNull() | (F.col(loss) < F.col("_bar"))
-    left = marked.join(bars, [run, "_bucket"]).where(beats_bar)
-    inside = Window.partitionBy(run, "_bucket").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    left = marked.join(bars, ["_run", "_bucket"]).where(beats_bar)
+    inside = Window.partitionBy("_run", "_bucket").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     ranked = left.withColumn("_best", F.min(loss).over(inside))
-    return ranked.where(F.col("_best").isNull() | (F.col(loss) < F.col("_best"))).drop("_bucket", "_bar", "_best")
+    best = ranked.where(F.col("_best").isNull() | (F.col(loss) < F.col("_best")))
+    return best.drop("_run", "_bucket", "_bar", "_best")
 
 
 def reward_report(reward: Column, text: Column) -> Column:

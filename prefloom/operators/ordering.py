@@ -33,15 +33,18 @@ def seeded_shuffle(df: DataFrame, id_column: str, seed: int, epoch: int = 0) ->
 
 
 def _positions(df: DataFrame, bucket: Column, order: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
-    marked = df.withColumn("_bucket", bucket)
-    counts = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    marked, group = df.withColumn("_bucket", bucket), []
+    if by:
+        # A struct is never NULL itself, so that rows with a NULL group find their offsets.
+        marked, group = marked.withColumn("_by", F.struct(*by)), ["_by"]
+    counts = marked.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     if not by:
         offsets = F.broadcast(offsets)  # at most one row per bucket
-    rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
-    placed = marked.withColumn("_rank", rank).join(offsets, [*by, "_bucket"])
-    return placed.withColumn(name, F.col("_offset") + F.col("_rank") - 1).drop("_bucket", "_rank", "_offset")
+    rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
+    placed = marked.withColumn("_rank", rank).join(offsets, [*group, "_bucket"])
+    return placed.withColumn(name, F.col("_offset") + F.col("_rank") - 1).drop("_by", "_bucket", "_rank", "_offset")
 
 
 def shuffled_positions(
