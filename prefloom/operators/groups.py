@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.functions.sequences import spread_advantage
-from prefloom.operators.skew import HOT_ROWS, hot_keys
+from prefloom.operators.skew import HOT_ROWS, hot_keys, is_one_of
 
 STD_EPSILON = 1e-7
 
@@ -58,14 +58,15 @@ def group_advantage(
     hot = hot_keys(df, group, min_hot_rows)
     if not hot:
         return by_window(df)
-    is_hot = F.coalesce(F.col(group).isin(hot), F.lit(False))
+    is_hot = is_one_of(F.col(group), hot)
     large = df.where(is_hot)
-    stats = large.groupBy(group).agg(
+    stats = large.groupBy(F.col(group).alias("_group")).agg(
         F.count("*").alias("_n"), F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std")
     )
     advantage = _advantage(score, F.col("_mean"), F.col("_std"), normalize)
-    from_stats = large.join(F.broadcast(stats), group).withColumn("advantage", checked(advantage, F.col("_n")))
-    return by_window(df.where(~is_hot)).unionByName(from_stats.drop("_n", "_mean", "_std"))
+    joined = large.join(F.broadcast(stats), F.col(group).eqNullSafe(F.col("_group")))
+    from_stats = joined.withColumn("advantage", checked(advantage, F.col("_n")))
+    return by_window(df.where(~is_hot)).unionByName(from_stats.drop("_group", "_n", "_mean", "_std"))
 
 
 def broadcast_advantage(df: DataFrame, mask: str, advantage: str = "advantage", out: str = "advantages") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys
@@ -31,10 +31,10 @@ def bounded_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, i
 
 
 def frequent_keys(sample: DataFrame, key: str, sampled: int, fraction: float, min_rows: int = HOT_ROWS) -> list:
-    """Keys that hold more than 1/HOT_SHARE of the ``sampled`` rows and, the sample being
-    ``fraction`` of the table, stand for more than ``min_rows`` of its rows."""
+    """Keys (NULL among them) that hold more than 1/HOT_SHARE of the ``sampled`` rows and, the
+    sample being ``fraction`` of the table, stand for more than ``min_rows`` of its rows."""
     least = max(sampled / HOT_SHARE, min_rows * fraction)
-    counts = sample.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = sample.groupBy(key).agg(F.count("*").alias("_n"))
     return [row[0] for row in counts.where(F.col("_n") > least).limit(HOT_SHARE).select(key).collect()]
 
 
@@ -44,6 +44,13 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
     return [] if n <= min_rows else frequent_keys(sample, key, int(n * fraction), fraction, min_rows)
 
 
+def is_one_of(column: Column, keys: Sequence) -> Column:
+    """Whether a column is one of the keys; never NULL, and true for NULL if that is a key."""
+    known = [k for k in keys if k is not None]
+    listed = F.coalesce(column.isin(known), F.lit(False)) if known else F.lit(False)
+    return listed | column.isNull() if None in keys else listed
+
+
 def join_unique(
     rows: DataFrame, lookup: DataFrame, key: str, hot: Sequence, spread_by: Sequence[str], how: str = "inner"
 ) -> DataFrame:
@@ -56,9 +63,8 @@ def join_unique(
         raise ValueError(f"unsupported join {how!r}")
     if not hot:
         return rows.join(lookup, key, how)
-    is_hot = F.col(key).isin(list(hot))
-    # NULL keys match nothing and are dealt out as well.
+    is_hot = is_one_of(F.col(key), hot)
     dealt = F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)).cast("int")
-    sliced = rows.withColumn("_slice", F.when(F.coalesce(is_hot, F.lit(True)), dealt).otherwise(F.lit(0)))
+    sliced = rows.withColumn("_slice", F.when(is_hot, dealt).otherwise(F.lit(0)))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
     return sliced.join(lookup.withColumn("_slice", F.explode(copies)), [key, "_slice"], how).drop("_slice")

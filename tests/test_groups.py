@@ -43,6 +43,15 @@ def test_hot_rows_are_not_shuffled(spark):
     assert "BroadcastHashJoin" in plan and "Union" in plan
 
 
+def test_a_hot_null_group(spark):
+    rows, _ = scores(spark)
+    nulled = spark.createDataFrame([(i, g or None, s) for i, g, s in rows], "id int, prompt_id int, score double")
+    assert None in hot_keys(nulled, "prompt_id", min_rows=50)
+    want = expected(rows)
+    got = {r.id: r.advantage for r in gr.group_advantage(nulled, "prompt_id", min_hot_rows=50).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
 def test_edge_groups(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 3.0)], "prompt_id int, score double")
     got = {(r.prompt_id, r.advantage) for r in gr.group_advantage(df, "prompt_id").collect()}
@@ -63,7 +72,7 @@ def test_join_unique_equals_a_plain_join(spark):
     lookup = spark.createDataFrame([(k, f"v{k}") for k in range(5, 30)], "k int, v string")
     for how in ("inner", "left"):
         want = sorted(map(tuple, rows.join(lookup, "k", how).select("id", "k", "v").collect()), key=str)
-        for hot in ([], [7], [7, 3, 99]):
+        for hot in ([], [7], [7, 3, 99], [None], [7, None]):
             got = join_unique(rows, lookup, "k", hot, ["id"], how).select("id", "k", "v").collect()
             assert sorted(map(tuple, got), key=str) == want
     with pytest.raises(ValueError):
