@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
+from prefloom.catalog.registry import QUERIES, TWINS
 
 FOLDER = "/root/testdata/sf0.001"
 # Plans that would pair every row with every row.
@@ -14,7 +15,7 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == TWINS.keys()
 
 
 def test_entry(spark):
@@ -22,9 +23,9 @@ def test_entry(spark):
     assert df.count() == 200 and "query_and_response_labels" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_its_twin(spark, con, name):
-    run = contract.queries()[name]
-    assert differences(spark, con, FOLDER, run, contract.oracle_sql()[name]) is None
+    run = QUERIES[name]
+    assert differences(spark, con, FOLDER, run, TWINS[name]) is None
     plan = run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not [b for b in BANNED if b in plan]
