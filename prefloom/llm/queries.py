@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.benchmark_decontamination import contaminated, decontaminate, items_digest
 from prefloom.llm.best_fit_packing import pack
+from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
+from prefloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -34,6 +36,93 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _fence_sql() -> str:
+    rows = [f"('{m}', '{side}', {least})" for m, (side, least) in FENCES.items()]
+    return "VALUES " + ", ".join(rows)
+
+
+QUALITY_SQL = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x : regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM doc
+), win AS (
+  SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM cut WHERE len(w) >= 8)
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n > 1
+), repeats AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM again) GROUP BY rid
+), counts AS (
+  SELECT rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(range(2, len(w) + 1), lambda i : w[i] = w[i - 1])) AS stutter
+  FROM cut LEFT JOIN repeats USING (rid)
+), metrics AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN 10000 * stutter // n_words ELSE 0 END AS stutter_ratio,
+    CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS long_words,
+    CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS short_words
+  FROM counts
+), vals AS (
+  UNPIVOT (SELECT rid, lang, source, base_failed, {", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in FENCES)} FROM metrics)
+  ON {", ".join(FENCES)} INTO NAME metric VALUE value
+), buckets AS (
+  SELECT rid, lang, source, metric, value, base_failed,
+    (value >> greatest(length(bin(value)) - 7, 0)) << greatest(length(bin(value)) - 7, 0) AS bucket FROM vals
+), good AS (SELECT * FROM buckets WHERE NOT base_failed
+), levels AS (
+  SELECT 1 AS level, lang, source, metric, bucket, count(*) AS n FROM good GROUP BY ALL
+  UNION ALL SELECT 2, lang, NULL, metric, bucket, count(*) FROM good GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, metric, bucket, count(*) FROM good GROUP BY ALL
+), placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM levels
+), quartiles AS (
+  SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q1,
+    min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM placed GROUP BY ALL
+), fence AS (
+  SELECT level, lang, source, metric, side, total,
+    CASE WHEN side = 'above' THEN q3 + greatest(3 * (q3 - q1), least) ELSE q1 - greatest(3 * (q3 - q1), least) END AS fence
+  FROM quartiles JOIN ({_fence_sql()}) f(metric, side, least) USING (metric)
+), chosen AS (
+  SELECT a.lang, a.source, a.metric, a.side, a.total,
+    CASE WHEN a.total >= 100 THEN a.fence WHEN b.total >= 100 THEN b.fence ELSE c.fence END AS fence
+  FROM fence a JOIN fence b ON b.level = 2 AND b.metric = a.metric AND b.lang IS NOT DISTINCT FROM a.lang
+  JOIN fence c ON c.level = 3 AND c.metric = a.metric WHERE a.level = 1
+), judged AS (
+  SELECT rid, max(c.total) AS rows_behind, bool_and(CASE WHEN c.side = 'above' THEN value <= fence ELSE value >= fence END) AS inside
+  FROM buckets v JOIN chosen c ON v.metric = c.metric AND v.lang IS NOT DISTINCT FROM c.lang AND v.source IS NOT DISTINCT FROM c.source
+  GROUP BY rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(inside, FALSE) AS kept, CAST(rows_behind AS BIGINT) AS rows_behind
+FROM metrics LEFT JOIN judged USING (rid)
+"""
+
+
+@query(QUALITY_SQL)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    metrics = cut_lineage(with_metrics(docs).drop("text"))
+    judged = judge(metrics, sketches(metrics))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "rows_behind",
+    )
+
+
 @query(
     r"""
 WITH bench AS (
