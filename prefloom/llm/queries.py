@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from prefloom.llm.benchmark_decontamination import contaminated, decontaminate, items_digest
 from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
+from prefloom.llm.url_filters import HOST_RULES, PATTERN_RULES, filter_urls
+from prefloom.llm.warc_revisits import TRACKING, resolve_revisits
 from prefloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +171,100 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _rules_sql(rules, patterns: bool) -> str:
+    if patterns:
+        return "VALUES " + ", ".join(f"('{r.action}', '{r.pattern}')" for r in rules)
+    return "VALUES " + ", ".join(f"('{r.name}', '{r.action}', '{r.host}', '{r.path}')" for r in rules)
+
+
+@query(
+    rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages
+), parts AS (
+  SELECT rid, page_id, low,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM cut
+), fits AS (
+  SELECT rid, arg_max(rule, length(rhost) + length(rpath)) AS rule, arg_max(action, length(rhost) + length(rpath)) AS action
+  FROM parts JOIN ({_rules_sql(HOST_RULES, False)}) r(rule, action, rhost, rpath)
+    ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY rid
+), found AS (
+  SELECT rid, min(action) AS action FROM parts JOIN ({_rules_sql(PATTERN_RULES, True)}) p(action, pattern) ON regexp_matches(low, pattern)
+  GROUP BY rid
+)
+SELECT page_id, host, path, rule, coalesce(f.action, p.action, 'allow') AS verdict
+FROM parts LEFT JOIN fits f USING (rid) LEFT JOIN found p USING (rid)
+"""
+)
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Each page as a full response, and a later revisit of its URL: some with a weak or a stale etag,
+    some with a date only, some with nothing to check."""
+    page = pages.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("digest"))
+    age = F.date_format(F.timestamp_seconds(F.col("page_id") * 60), "yyyy-MM-dd HH:mm:ss")
+    kind = F.substring("digest", 1, 1)
+    response = page.select(
+        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"),
+        "url",
+        (2 * F.col("page_id")).alias("captured_at"),
+        F.lit("response").alias("kind"),
+        F.col("digest").alias("etag"),
+        age.alias("last_modified"),
+        "digest",
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("digest"), F.lit("Date"), age).alias("headers"),
+    )
+    none = F.lit(None).cast("string")
+    revisit = page.select(
+        F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("record_id"),
+        F.concat(F.regexp_replace("url", "^[a-z]+:", "http:"), F.lit("#again")).alias("url"),
+        (2 * F.col("page_id") + 1001).alias("captured_at"),
+        F.lit("revisit").alias("kind"),
+        F.when(kind < "4", none).when(kind == "f", F.lit("stale")).otherwise(F.concat(F.lit("W/"), "digest")).alias("etag"),
+        F.when((kind >= "1") & (kind < "4"), age).alias("last_modified"),
+        none.alias("digest"),
+        F.create_map(
+            F.lit("Content-Type"), F.lit("text/plain"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), F.lit("later")
+        ).alias("headers"),
+    )
+    return response.unionByName(revisit)
+
+
+@query(
+    rf"""
+WITH page AS (
+  SELECT page_id, md5(html) AS digest, strftime(make_timestamp(page_id * 60000000), '%Y-%m-%d %H:%M:%S') AS age,
+    regexp_replace(lower(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '')), '#.*$', '') AS low FROM pages
+), key AS (
+  SELECT page_id, digest, age, substr(digest, 1, 1) AS kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(low, '^(www|m)\.', ''),
+    '([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', ''), '(?:/|\.html)$', '') AS canonical_url FROM page
+), revisit AS (
+  SELECT 'v' || page_id AS record_id, canonical_url, 2 * page_id + 1001 AS captured_at,
+    CASE WHEN kind < '4' THEN NULL WHEN kind = 'f' THEN 'stale' ELSE digest END AS etag,
+    CASE WHEN kind >= '1' AND kind < '4' THEN age END AS last_modified FROM key
+), response AS (
+  SELECT 'r' || page_id AS response_id, canonical_url AS url, 2 * page_id AS response_at, digest, age FROM key
+), found AS (
+  SELECT * FROM revisit ASOF LEFT JOIN response ON canonical_url = url AND captured_at > response_at
+), judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN etag IS NULL AND last_modified IS NULL THEN 'no_validator'
+    WHEN coalesce(etag <> digest, FALSE) OR coalesce(last_modified <> age, FALSE) THEN 'mismatch' ELSE 'resolved' END AS status FROM found
+)
+SELECT record_id, canonical_url, captured_at, status, response_id, response_at,
+  CASE WHEN status = 'resolved' THEN digest END AS payload_digest,
+  CASE WHEN status = 'resolved' THEN 'Content-Type=text/html;ETag=' || digest || ';cache-control=max-age=60;date=later' END AS headers
+FROM judged
+"""
+)
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(fields, ";"))
