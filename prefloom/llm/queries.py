@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from prefloom.llm.benchmark_decontamination import contaminated, decontaminate, items_digest
 from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
+from prefloom.llm.secret_scans import scan
+from prefloom.llm.suffix_array_dedup import remove_repeats
 from prefloom.llm.url_filters import HOST_RULES, PATTERN_RULES, filter_urls
 from prefloom.llm.warc_revisits import TRACKING, resolve_revisits
 from prefloom.session import cut_lineage
@@ -268,3 +270,15 @@ def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve_revisits(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.withColumn("headers", F.array_join(fields, ";"))
+
+
+@query()
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    judged = scan(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "start", "end", F.round("probability", 6).alias("probability"), "is_secret")
+
+
+@query()
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("spans")
