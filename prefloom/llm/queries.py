@@ -11,6 +11,7 @@ from prefloom.llm.benchmark_decontamination import contaminated, decontaminate,
 from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
 from prefloom.llm.secret_scans import scan
+from prefloom.llm.substring_dedup import remove_seen
 from prefloom.llm.suffix_array_dedup import remove_repeats
 from prefloom.llm.url_filters import HOST_RULES, PATTERN_RULES, filter_urls
 from prefloom.llm.warc_revisits import TRACKING, resolve_revisits
@@ -282,3 +283,25 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("spans")
+
+
+@query(
+    r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT rid, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)
+), seen AS (
+  SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM seen
+), lists AS (SELECT rid, count(*) AS n, list(p) AS gone FROM gone GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i : NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN lists USING (rid)
+"""
+)
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_seen(table(spark, sf_dir, "documents"), keep_text=False)
