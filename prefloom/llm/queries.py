@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm.benchmark_decontamination import contaminated, decontaminate, items_digest
 from prefloom.llm.best_fit_packing import pack
+from prefloom.llm.jaccard_join import jaccard_classes
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
 from prefloom.llm.secret_scans import scan
 from prefloom.llm.substring_dedup import remove_seen
@@ -305,3 +306,8 @@ FROM doc LEFT JOIN lists USING (rid)
 )
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_seen(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("is_first")
