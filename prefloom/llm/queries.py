@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prefloom.llm.benchmark_decontamination import contaminated, decontaminate, items_digest
 from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.jaccard_join import jaccard_classes
+from prefloom.llm.lm_scoring import score
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
 from prefloom.llm.secret_scans import scan
 from prefloom.llm.substring_dedup import remove_seen
@@ -311,3 +312,37 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).drop("is_first")
+
+
+@query(
+    r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), word AS (SELECT rid, i, w[i] AS w, w[i - 1] AS v FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM doc)
+), uni AS (SELECT w, count(*) AS n FROM word GROUP BY w
+), uni_own AS (SELECT rid, w, count(*) AS n FROM word GROUP BY rid, w
+), bi AS (SELECT v, w, count(*) AS n FROM word WHERE i > 1 GROUP BY v, w
+), bi_own AS (SELECT rid, v, w, count(*) AS n FROM word WHERE i > 1 GROUP BY rid, v, w
+), n AS (SELECT count(*) AS n FROM word
+), c AS (
+  SELECT word.rid, word.i, n.n - len(doc.w) AS outside, u.n - uo.n AS uni, coalesce(b.n - bo.n, 0) AS bi, coalesce(cu.n - co.n, 0) AS ctx
+  FROM word JOIN n ON TRUE JOIN doc ON doc.rid = word.rid JOIN uni u ON u.w = word.w
+  JOIN uni_own uo ON uo.rid = word.rid AND uo.w = word.w
+  LEFT JOIN bi b ON word.i > 1 AND b.v = word.v AND b.w = word.w
+  LEFT JOIN bi_own bo ON word.i > 1 AND bo.rid = word.rid AND bo.v = word.v AND bo.w = word.w
+  LEFT JOIN uni cu ON word.i > 1 AND cu.w = word.v
+  LEFT JOIN uni_own co ON word.i > 1 AND co.rid = word.rid AND co.w = word.v
+), s AS (
+  SELECT rid, count(*) FILTER (bi > 0 OR i = 1 AND uni > 0) AS n_hits, count(*) FILTER (bi = 0 AND uni = 0) AS n_unseen,
+    CAST(sum(CAST(round((ln(CASE WHEN bi > 0 THEN bi / ctx WHEN uni > 0 THEN uni / greatest(outside, 1) ELSE 1 / (outside + 1) END)
+      + CASE WHEN i > 1 AND bi = 0 THEN ln(0.4) ELSE 0 END) * 1000000) AS BIGINT)) AS BIGINT) AS log_score
+  FROM c GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hits, 0) AS n_hits, coalesce(n_unseen, 0) AS n_unseen, coalesce(log_score, 0) AS log_score
+FROM doc LEFT JOIN s USING (rid)
+"""
+)
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
