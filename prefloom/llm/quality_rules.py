@@ -164,13 +164,11 @@ def judge(metrics: DataFrame, sketch: DataFrame, group: tuple[str, str] = ("lang
     by_lang = fences(merged(sketch, ["lang"]), ["lang"]).select(
         F.col("lang").alias("l"), F.col("rows").alias("l_rows"), *[F.col(x).alias(f"l_{x}") for x in names]
     )
-    everything = fences(merged(sketch, []).withColumn("one", F.lit(1)), ["one"]).select(
-        F.lit(1).alias("one_1"), *[F.col(x).alias(f"a_{x}") for x in names]
-    )
-    table = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("one", F.lit(1))
-    table = table.join(F.broadcast(everything), F.col("one") == F.col("one_1"), "left")  # one row
+    # One row, read here as five constants of the plan.
+    everything = fences(merged(sketch, []).withColumn("one", F.lit(1)), ["one"]).first()
+    table = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
     large, lang_large = F.col("rows") >= LEAST_ROWS, F.col("l_rows") >= LEAST_ROWS
-    chosen = [F.when(large, F.col(x)).when(lang_large, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}")).alias(x) for x in names]
+    chosen = [F.when(large, F.col(x)).when(lang_large, F.col(f"l_{x}")).otherwise(F.lit(everything[x] if everything else None)).alias(x) for x in names]
     table = cut_lineage(
         table.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("rows").alias("rows_behind"), *chosen)
     )
