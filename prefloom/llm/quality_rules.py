@@ -37,12 +37,13 @@ BROADCAST_ROWS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _ordered_windows(words: Column, n: Column) -> Column:
-    windows = F.transform(
-        F.sequence(F.lit(1), n - (WINDOW - 1)),
-        lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i")),
-    )
-    return F.array_sort(windows)
+def _windows(values: Column, n: Column, join) -> Column:
+    """All windows of WINDOW = 8 values, by doubling: pairs, pairs of pairs, and those again. Each step is linear
+    in the text; a slice per window would copy the whole array each time."""
+    for step in (1, 2, 4):
+        n = n - step
+        values = F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(step + 1), n), join)
+    return values
 
 
 def _repeat_words(ordered: Column) -> Column:
@@ -75,16 +76,13 @@ def with_metrics(df: DataFrame, text_column: str = "text") -> DataFrame:
     )
     out = out.withColumn("_n", F.size("_words"))
     words, lines, n = F.col("_words"), F.col("_lines"), F.col("_n")
-    out = out.withColumn(
-        "_hashes",
-        F.when(
-            n > WINDOW,
-            F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    # Most texts have no two equal hashes; the windows themselves are compared in those that have.
+    # Most texts have no two equal window hashes; the windows themselves are compared in those that have.
+    hashed = _windows(F.transform(words, lambda x: F.xxhash64(x)), n, lambda a, b: F.xxhash64(a, b))
+    out = out.withColumn("_hashes", F.when(n > WINDOW, hashed).otherwise(F.array().cast("array<bigint>")))
     repeated = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    out = out.withColumn("_ordered", F.when(repeated, _ordered_windows(words, n))).drop("_hashes")
+    joined = _windows(words, n, lambda a, b: F.concat_ws(" ", a, b))
+    ordered = F.array_sort(F.transform(joined, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    out = out.withColumn("_ordered", F.when(repeated, ordered)).drop("_hashes")
     stutter = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: a == b), lambda x: x))
     out = out.withColumns(
         {
