@@ -20,7 +20,7 @@ from prefloom.session import cut_lineage, scratch_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
-    metrics = cut_lineage(with_metrics(docs))
+    metrics = with_metrics(docs)
     return judge(metrics, sketches(metrics)).where("kept").select(docs.columns)
 
 

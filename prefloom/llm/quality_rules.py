@@ -61,11 +61,17 @@ def _repeat_words(ordered: Column) -> Column:
     )
 
 
-def with_metrics(df: DataFrame, text_column: str = "text") -> DataFrame:
+def with_metrics(df: DataFrame, text_column: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with the counts, the ratios of FENCES and base_failed; same-named columns are replaced.
 
-    A NULL text counts as empty: no words, so it fails the base rule. Ratios of nothing are 0.
+    A NULL text counts as empty: no words, so it fails the base rule. Ratios of nothing are 0. The rows are
+    written to the shared folder once: a filter on a metric would else be pushed below the columns that it is
+    made of, where the optimizer repeats their expressions inside each other's lambdas.
     """
+    return cut_lineage(_measured(df, text_column) if keep_text else _measured(df, text_column).drop(text_column))
+
+
+def _measured(df: DataFrame, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
     added = ["_words", "_lines", "_n", "_hashes", "_ordered", *COUNTS, *FENCES, "base_failed"]
     out = df.drop(*added).withColumns(

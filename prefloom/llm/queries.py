@@ -17,7 +17,6 @@ from prefloom.llm.substring_dedup import remove_seen
 from prefloom.llm.suffix_array_dedup import remove_repeats
 from prefloom.llm.url_filters import HOST_RULES, PATTERN_RULES, filter_urls
 from prefloom.llm.warc_revisits import TRACKING, resolve_revisits
-from prefloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -115,7 +114,7 @@ FROM metrics LEFT JOIN judged USING (rid)
 @query(QUALITY_SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    metrics = cut_lineage(with_metrics(docs).drop("text"))
+    metrics = with_metrics(docs, keep_text=False)
     judged = judge(metrics, sketches(metrics))
     return judged.select(
         "doc_id",
