@@ -42,9 +42,9 @@ def stand_ins():
         return score
 
     def make_generator():
-        def generate(prompt):
-            ids = np.asarray(prompt, dtype="int64")
-            return [((ids + shift).tolist(), (-((ids + shift) % 10) / 10).tolist()) for shift in (0, 1)]
+        def generate(prompts):
+            arrays = [np.asarray(p, dtype="int64") for p in prompts]
+            return [[((a + s).tolist(), (-((a + s) % 10) / 10).tolist()) for s in (0, 1)] for a in arrays]
 
         return generate
 
@@ -56,10 +56,6 @@ COUNT_WORDS, MAKE_SCORER, MAKE_GENERATOR = stand_ins()
 SCORE = "coalesce(list_avg(list_transform(tokens, lambda t: t % 1000)) / 1000, 0)"
 
 
-def encoded_titles(spark, d):
-    return v.posts(spark, d).select("id", TOKENIZER.encode(F.col("title")).alias("tokens"))
-
-
 def encoded_posts(spark, d):
     return v.posts(spark, d).select("id", TOKENIZER.encode(F.col("post")).alias("tokens"))
 
@@ -84,14 +80,14 @@ def score_batches_query(spark, d):
 @query(
     "generate_batches",
     with_views(
-        f", t AS (SELECT id, {sql_ids('title')} AS tokens FROM v_posts), r AS (SELECT id, s::INT AS response_no, list_transform(tokens, lambda t: t + s) AS tokens FROM t CROSS JOIN range(2) AS x(s)) "
+        f", t AS (SELECT id, {sql_ids('post')} AS tokens FROM v_posts), r AS (SELECT id, s::INT AS response_no, list_transform(tokens, lambda t: t + s) AS tokens FROM t CROSS JOIN range(2) AS x(s)) "
         f"SELECT id, response_no, {sql_joined('tokens')} AS response_tokens, "
         f"{sql_round('coalesce(list_sum(list_transform(tokens, lambda t: -(t % 10) / 10.0::DOUBLE)), 0)')} AS logp FROM r",
         "v_posts",
     ),
 )
 def generate_batches_query(spark, d):
-    rows = generate_batches(encoded_titles(spark, d), "id", "tokens", MAKE_GENERATOR)
+    rows = generate_batches(encoded_posts(spark, d), "id", "tokens", MAKE_GENERATOR)
     logp = F.aggregate("log_probs", F.lit(0.0), lambda s, x: s + x)
     return rows.select("id", "response_no", joined("response_tokens").alias("response_tokens"), rounded(logp).alias("logp"))
 

@@ -92,16 +92,18 @@ def best_so_far_query(spark, d):
 @query(
     "is_cadence_step",
     with_views(
-        " SELECT step, (step + 1) % 100 = 0 AS eval_step, step % 100 = 0 OR step >= 9990 AS eval_or_last FROM v_metrics "
-        "WHERE (step + 1) % 100 = 0 OR step % 100 = 0 OR step >= 9990",
+        " SELECT step, (step + 1) % 100 = 0 AS eval_step, step % 100 = 0 OR step >= (SELECT max(step) FROM v_metrics) AS eval_or_last FROM v_metrics "
+        "WHERE (step + 1) % 100 = 0 OR step % 100 = 0 OR step >= (SELECT max(step) FROM v_metrics)",
         "v_metrics",
     ),
 )
 def is_cadence_step_query(spark, d):
-    flags = v.metrics(spark, d).select(
+    metrics = v.metrics(spark, d)
+    last = metrics.agg(F.max("step")).scalar()
+    flags = metrics.select(
         "step",
         mt.is_cadence_step(F.col("step"), 100).alias("eval_step"),
-        mt.is_cadence_step(F.col("step"), 100, offset=0, last_step=9990).alias("eval_or_last"),
+        mt.is_cadence_step(F.col("step"), 100, offset=0, last_step=last).alias("eval_or_last"),
     )
     return flags.where("eval_step or eval_or_last")
 

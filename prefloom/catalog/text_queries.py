@@ -101,21 +101,31 @@ def token_length_query(spark, d):
     )
 
 
-@query(
-    "decode",
-    f"""WITH vocabulary AS (SELECT id, min(t) AS word FROM (
-            SELECT 2 + ('0x' || substr(md5(t), 1, 8))::BIGINT AS id, t
+DECODED = f"""WITH vocabulary AS (SELECT id, min(t) AS word FROM (
+            SELECT 2 + ('0x' || substr(md5(t), 1, 15))::BIGINT AS id, t
             FROM (SELECT DISTINCT unnest({sql_words('text')}) AS t FROM documents)) GROUP BY id),
         words AS (SELECT doc_id, unnest({sql_words('text')}) AS t, generate_subscripts({sql_words('text')}, 1) AS pos FROM documents),
-        named AS (SELECT doc_id, pos, word FROM words JOIN vocabulary ON id = 2 + ('0x' || substr(md5(t), 1, 8))::BIGINT)
+        named AS (SELECT doc_id, pos, word FROM words JOIN vocabulary ON id = 2 + ('0x' || substr(md5(t), 1, 15))::BIGINT)
     SELECT d.doc_id, coalesce(x.decoded, '') AS decoded FROM documents d
-    LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS decoded FROM named GROUP BY doc_id) x USING (doc_id)""",
-)
-def decode_query(spark, d):
+    LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS decoded FROM named GROUP BY doc_id) x USING (doc_id)"""
+
+
+def decoded(spark, d, **how):
     documents = spread_small(v.table(spark, d, "documents"))
     encoded = documents.select("doc_id", TOKENIZER.encode(F.col("text")).alias("tokens"))
     vocabulary = cut_lineage(build_vocabulary(documents, "text"))
-    return decode(encoded, "doc_id", "tokens", vocabulary)
+    return decode(encoded, "doc_id", "tokens", vocabulary, **how)
+
+
+@query("decode", DECODED)
+def decode_query(spark, d):
+    return decoded(spark, d)
+
+
+@query("decode_joined", DECODED)
+def decode_joined_query(spark, d):
+    """The way of vocabularies too large to send to every task."""
+    return decoded(spark, d, small_vocabulary=0)
 
 
 @query(

@@ -211,7 +211,7 @@ def sql_words(text: str) -> str:
 def sql_ids(text: str) -> str:
     return (
         f"list_transform({sql_words(text)}, lambda t: CASE WHEN t = '{EOS_TEXT}' THEN 1::BIGINT "
-        f"WHEN t = '{PAD_TEXT}' THEN 0::BIGINT ELSE 2 + ('0x' || substr(md5(t), 1, 8))::BIGINT END)"
+        f"WHEN t = '{PAD_TEXT}' THEN 0::BIGINT ELSE 2 + ('0x' || substr(md5(t), 1, 15))::BIGINT END)"
     )
 
 

@@ -83,7 +83,7 @@ def grpo_loss(policy_loss: Column, kl_loss: Column, kl_coeff: float = KL_COEFF)
 
 
 def _mask_count(mask: Column) -> Column:
-    return F.size(F.array_remove(mask, F.lit(False))).cast("double")
+    return F.array_size(F.filter(mask, lambda m: m)).cast("double")
 
 
 def masked_sum(values: Column, mask: Column) -> Column:

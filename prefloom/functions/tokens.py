@@ -24,6 +24,9 @@ from prefloom.schemas import EOS_TEXT, PAD_TEXT
 # What parts words; a no-break space, say, does not.
 WORD_BLANKS = " \t\n\x0b\x0c\r"
 
+# Hexadecimal digits of the md5 that make a word id: 60 bits, which fit a bigint.
+ID_DIGITS = 15
+
 IDS = T.ArrayType(T.LongType(), containsNull=False)
 
 
@@ -49,7 +52,7 @@ class WordTokenizer:
         return F.regexp_extract_all(self._spaced(text), F.lit(r"\S+"), 0)
 
     def word_id(self, word: Column) -> Column:
-        hashed = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") + F.lit(self.first_word_id)
+        hashed = F.conv(F.substring(F.md5(word), 1, ID_DIGITS), 16, 10).cast("bigint") + F.lit(self.first_word_id)
         out = F.when(word == self.eos_text, F.lit(self.eos_id).cast("bigint"))
         return out.when(word == self.pad_text, F.lit(self.pad_id).cast("bigint")).otherwise(hashed)
 
@@ -121,16 +124,29 @@ class WordTokenizer:
         return F.concat(head, fitted, tail)
 
 
+def longest_that_may_fit(field: str, cut_text: str, room: int) -> str:
+    """The first of the candidates in cutting order (whole lines off the end, then characters of the first
+    line) that has at most ``room`` characters; the empty one if none has."""
+    if len(field) <= room:
+        return field
+    if room < 0:
+        return ""
+    line = field.rfind(cut_text, 0, room + len(cut_text))
+    return field[:line] if line >= 0 else field[:room]
+
+
 @dataclass(frozen=True)
 class CallableTokenizer:
     """A tokenizer the caller brings. ``make_encoder()`` is called once per task and returns
-    ``encode(text) -> list[int]``; it must know the special texts itself."""
+    ``encode(text) -> list[int]``; it must know the special texts itself. ``longest_token`` is how many
+    characters one token covers at most; with it, prompts that cannot fit are cut without encoding them."""
 
     make_encoder: Callable[[], Callable[[str], list[int]]]
     pad_id: int
     eos_id: int
     pad_text: str = PAD_TEXT
     eos_text: str = EOS_TEXT
+    longest_token: int | None = None
 
     def encode(self, text: Column, limit: int | None = None) -> Column:
         make = self.make_encoder
@@ -144,7 +160,7 @@ class CallableTokenizer:
         return run(text)
 
     def count(self, text: Column) -> Column:
-        return F.size(self.encode(text))
+        return F.array_size(self.encode(text))
 
     def drop_specials(self, text: Column) -> Column:
         for special in (self.eos_text, self.pad_text):
@@ -163,19 +179,22 @@ class CallableTokenizer:
         """As ``WordTokenizer.fit_prompt``. Token counts of such encoders do not add up, so
         the candidates are tried in order."""
         before, after = Template.parse(template).around(cut_field)
-        make = self.make_encoder
+        make, longest = self.make_encoder, self.longest_token
 
         @F.pandas_udf("string")
         def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             encode = make()
 
             def fit(head: str, field: str, tail: str) -> str | None:
-                while len(encode(head + field + tail)) > budget:
+                while True:
+                    if longest is not None:  # longer candidates have more tokens than the budget
+                        field = longest_that_may_fit(field, cut_text, budget * longest - len(head) - len(tail))
+                    if len(encode(head + field + tail)) <= budget:
+                        return head + field + tail
                     if not field:
                         return None
                     lines, found, _ = field.rpartition(cut_text)
                     field = lines if found else field[:-1]
-                return head + field + tail
 
             for heads, bodies, tails in batches:
                 yield pd.Series([fit(*row) for row in zip(heads, bodies, tails)], dtype="object")

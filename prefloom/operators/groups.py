@@ -24,7 +24,8 @@ def check_group_size(df: DataFrame, group: str, size: int) -> DataFrame:
 
 def _advantage(score: str, mean: Column, std: Column, normalize: bool) -> Column:
     centred = F.col(score) - mean
-    return F.coalesce(centred / (std + F.lit(STD_EPSILON)), F.lit(0.0)) if normalize else centred
+    # A group of one has no deviation; a NULL score has no advantage either way.
+    return centred / (F.coalesce(std, F.lit(0.0)) + F.lit(STD_EPSILON)) if normalize else centred
 
 
 def group_advantage(

@@ -18,6 +18,8 @@ HASH_DIGITS = 4  # 65,536 buckets of the md5 key
 ROWS_PER_BUCKET = 100_000
 MIN_BUCKETS = 16
 MAX_BUCKETS = 16_384
+# Keys looked at to bound a large head.
+FIRST_SAMPLE = 10_000
 SMALL_LIMIT = 10_000
 
 
@@ -130,10 +132,23 @@ def assign_minibatches(
 
 
 def take_first(df: DataFrame, n: int | None, key: str) -> DataFrame:
-    """The first ``n`` rows by a unique key; all rows for ``None``. Small heads use a top-n sort,
-    large ones positions, so no task holds all ``n`` rows."""
+    """The first ``n`` rows by a unique key of any ordered type, in that order; all rows for ``None``.
+
+    Small heads use a top-n sort. For large ones a sampled bound leaves little more than ``n`` rows, and a
+    top-n sort of what is too much finds the exact end, so no task holds all ``n`` rows.
+    """
     if n is None:
         return df
     if n <= SMALL_LIMIT:
         return df.orderBy(key).limit(n)
-    return ordered_positions(df, key).where(F.col("position") < n).drop("position")
+    sample, _, fraction = bounded_sample(df.select(key), FIRST_SAMPLE)
+    known = [row[0] for row in sample.where(F.col(key).isNotNull()).orderBy(key).collect()]
+    place = int(n * fraction + 4 * (n * fraction) ** 0.5 + 10)
+    near = df.where(F.col(key).isNull() | (F.col(key) <= F.lit(known[place]))) if place < len(known) else df
+    over = near.count() - n
+    if over < 0 and place < len(known):
+        near, over = df, df.count() - n
+    if over <= 0:
+        return near.orderBy(key)
+    end = near.orderBy(F.desc(key)).limit(over).agg(F.min(key)).first()[0]
+    return near.where(F.col(key).isNull() | (F.col(key) < F.lit(end))).orderBy(key)

@@ -56,9 +56,13 @@ def exclude_batches(df: DataFrame, batches: Sequence[str] = NEWS_BATCHES, split:
 
 
 def chosen_and_rejected(summaries: Column, choice: Column) -> tuple[Column, Column]:
-    """Texts of the preferred and the other summary; a choice outside 0 and 1 fails the query."""
-    wrong = F.raise_error(F.concat(F.lit("choice must be 0 or 1, got "), choice.cast("string"))).cast("int")
-    index = F.when(choice.isin(0, 1) | choice.isNull(), choice).otherwise(wrong)
+    """Texts of the preferred and the other summary. A choice other than 0 and 1 fails the query, NULL included,
+    and so does a record with fewer than two summaries; a NULL text stays NULL."""
+    got = F.coalesce(choice.cast("string"), F.lit("NULL"))
+    wrong = F.raise_error(F.concat(F.lit("choice must be 0 or 1, got "), got)).cast("int")
+    few = F.raise_error(F.lit("a comparison needs two summaries")).cast("int")
+    whole = F.coalesce(F.array_size(F.filter(summaries, lambda s: s.isNotNull())) >= 2, F.lit(False))
+    index = F.when(~F.coalesce(choice.isin(0, 1), F.lit(False)), wrong).when(~whole, few).otherwise(choice)
     return F.get(summaries, index)["text"], F.get(summaries, F.lit(1) - index)["text"]
 
 

@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | str) -> DataFrame:
-    """A row function over every row, in Arrow batches; ``schema`` declares what it returns."""
-    names = T.StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+    """A row function over every row, in Arrow batches; ``schema`` declares what it returns. Values reach the
+    function as they are: whole numbers stay whole beside NULLs, and NULL is None."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fn(row) for row in batch.to_dict("records")]
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist([fn(row) for row in batch.to_pylist()], arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def score_batches(
@@ -41,10 +43,12 @@ def generate_batches(
     df: DataFrame,
     key: str,
     prompt: str,
-    make_generator: Callable[[], Callable[[list], list[tuple[list[int], list[float]]]]],
+    make_generator: Callable[[], Callable[[list[list[int]]], list[list[tuple[list[int], list[float]]]]]],
+    batch_size: int = 64,
 ) -> DataFrame:
-    """Responses with their log-probabilities, any number per prompt, from a generator the
-    caller brings: ``generate(prompt_tokens) -> [(tokens, log_probs), ...]``."""
+    """Responses with their log-probabilities, any number per prompt, from a generator the caller brings:
+    ``generate(prompts)`` gets up to ``batch_size`` token lists and returns, for each, its list of
+    (tokens, log_probs). A NULL prompt is handed over as None."""
     schema = T.StructType(
         [
             df.schema[key],
@@ -53,18 +57,21 @@ def generate_batches(
             T.StructField("log_probs", T.ArrayType(T.DoubleType())),
         ]
     )
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generate = make_generator()
-        for batch in batches:
-            rows = [
-                (row_key, number, list(tokens), list(log_probs))
-                for row_key, prompt_tokens in zip(batch[key], batch[prompt])
-                for number, (tokens, log_probs) in enumerate(generate(list(prompt_tokens)))
-            ]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return df.select(key, prompt).mapInPandas(run, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                keys, prompts = (c.to_pylist() for c in whole.slice(at, batch_size).columns)
+                rows = [
+                    dict(zip(schema.names, (row_key, number, list(tokens), list(log_probs))))
+                    for row_key, responses in zip(keys, generate(prompts), strict=True)
+                    for number, (tokens, log_probs) in enumerate(responses)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return df.select(key, prompt).mapInArrow(run, schema)
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -21,7 +21,7 @@ def token_rows(df: DataFrame, mask: str, arrays: Mapping[str, str], keep: Sequen
     """One row per token: ``keep``, its place ``_pos``, its mask ``_mask``, the sequence's mask
     count ``_kept``, and one column per entry of ``arrays`` (output name to array column)."""
     zipped = F.arrays_zip(F.col(mask).alias("_mask"), *[F.col(source).alias(name) for name, source in arrays.items()])
-    kept = F.size(F.array_remove(F.col(mask), F.lit(False)))
+    kept = F.array_size(F.filter(F.col(mask), lambda m: m))
     tokens = df.select(*keep, kept.alias("_kept"), F.posexplode(zipped).alias("_pos", "_token"))
     return tokens.select(*keep, "_kept", "_pos", "_token.*")
 

@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import lstrip
 from prefloom.functions.tokens import WordTokenizer
 from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, join_unique
+from prefloom.session import cut_lineage
 
 # Vocabularies up to this many entries and bytes are sent to every task.
 SMALL_VOCABULARY = 300_000
@@ -21,10 +23,16 @@ SAMPLE_SEQUENCES = 2_000
 
 
 def build_vocabulary(texts: DataFrame, text: str, tokenizer: WordTokenizer = WordTokenizer()) -> DataFrame:
-    """(token_id, token) of every word in the texts. Words that share an id keep the smallest."""
+    """(token_id, token) of every word in the texts; two words with one id fail the query."""
     words = texts.select(F.explode(tokenizer.words(F.col(text))).alias("token")).distinct()
     ids = words.select(tokenizer.word_id(F.col("token")).alias("token_id"), "token")
-    return ids.groupBy("token_id").agg(F.min("token").alias("token"))
+    return ids.groupBy("token_id").agg(_only_word().alias("token"))
+
+
+def _only_word():
+    first, last = F.min("token"), F.max("token")
+    message = F.concat(F.lit("two words share an id: "), first, F.lit(", "), last)
+    return F.when(first == last, first).otherwise(F.raise_error(message))
 
 
 def decode(
@@ -37,48 +45,54 @@ def decode(
     small_vocabulary: int = SMALL_VOCABULARY,
     min_hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The text of each token array without special tokens, words joined by blanks; (key, out).
+    """The text of each token array without special tokens, words joined by blanks; (key, out), row for row.
 
-    A vocabulary of at most ``small_vocabulary`` entries (and a size to match) is looked up
-    inside each task without a shuffle. A larger one is joined token by token.
+    A NULL array gives NULL; ids that are NULL or have no word are left out; keys may repeat. A vocabulary
+    of at most ``small_vocabulary`` entries (and a size to match) is looked up inside each task without a
+    shuffle, a larger one is joined token by token; both give the same rows.
     """
-    entries, size = vocabulary.limit(small_vocabulary + 1).agg(F.count("*"), F.sum(F.octet_length("token"))).first()
+    plain = vocabulary.where(F.col("token").isNotNull() & ~F.col("token_id").isin(*specials))
+    entries, size = plain.limit(small_vocabulary + 1).agg(F.count("*"), F.sum(F.octet_length("token"))).first()
     if entries <= small_vocabulary and (size or 0) <= SMALL_VOCABULARY_BYTES:
-        return df.select(key, _lookup(vocabulary.toPandas(), specials, df)(F.col(tokens)).alias(out))
-    sample, _, fraction = bounded_sample(df.select(tokens), SAMPLE_SEQUENCES)
-    sampled = sample.agg(F.sum(F.size(tokens))).first()[0] or 0
+        return df.select(key, _lookup(plain.toPandas(), df)(F.col(tokens)).alias(out))
+    # Rows get a number of their own, so that equal keys stay apart.
+    rows = cut_lineage(df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()))
+    sample, _, fraction = bounded_sample(rows.select(tokens), SAMPLE_SEQUENCES)
+    sampled = sample.agg(F.sum(F.array_size(tokens))).first()[0] or 0
     hot = frequent_keys(sample.select(F.explode(tokens).alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
-    places = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token_id"))
-    plain = vocabulary.where(~F.col("token_id").isin(*specials))
-    named = join_unique(places, plain, "token_id", hot, [key, "_pos"], how="left")
+    places = rows.select(
+        key, "_row", F.col(tokens).isNull().alias("_none"), F.posexplode_outer(tokens).alias("_pos", "token_id")
+    )
+    named = join_unique(places, plain, "token_id", hot, [key, "_row", "_none", "_pos"], how="left")
     # Tokens without a word count as NULL, which collect_list leaves out.
     words = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))))
-    return named.groupBy(key).agg(F.array_join(F.transform(words, lambda w: w["token"]), " ").alias(out))
+    text = F.array_join(F.transform(words, lambda w: w["token"]), " ")
+    whole = named.groupBy("_row", key).agg(F.max("_none").alias("_none"), text.alias(out))
+    return whole.select(key, F.when(~F.col("_none"), F.col(out)).alias(out))
 
 
-def _lookup(vocabulary: pd.DataFrame, specials: Sequence[int], df: DataFrame):
-    kept = vocabulary[~vocabulary["token_id"].isin(specials)].sort_values("token_id")
+def _lookup(vocabulary: pd.DataFrame, df: DataFrame):
+    kept = vocabulary.dropna(subset=["token_id"]).sort_values("token_id")
     table = df.sparkSession.sparkContext.broadcast(
-        (kept["token_id"].to_numpy("int64"), kept["token"].to_numpy("object"))
+        (kept["token_id"].to_numpy("int64"), pa.array(kept["token"].to_list(), pa.string()))
     )
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, words = table.value
-
-        def text(tokens: np.ndarray | None) -> str | None:
-            if tokens is None:
-                return None
-            spots = np.searchsorted(ids, tokens)
-            spots = spots[(spots < len(ids)) & (ids[np.minimum(spots, len(ids) - 1)] == tokens)]
-            return " ".join(words[spots])
-
         for batch in batches:
-            yield batch.map(text)
+            # All arrays of a batch are looked up at once.
+            length = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            flat = batch.flatten()
+            known = np.zeros(len(flat), dtype=bool)
+            spots = np.zeros(len(flat), dtype=np.int64)
+            if len(ids):
+                tokens = flat.fill_null(0).to_numpy(zero_copy_only=False)
+                spots = np.minimum(np.searchsorted(ids, tokens), len(ids) - 1)
+                known = (ids[spots] == tokens) & flat.is_valid().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(known)])
+            offsets = before[np.concatenate([[0], np.cumsum(length)])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(spots[known])))
+            yield pc.if_else(batch.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
 
     return run
-
-
-def decoded_prompt(prompt: Column, tokenizer: WordTokenizer) -> Column:
-    """What decoding a word-token prompt gives: its text without special texts, left-stripped."""
-    return lstrip(tokenizer.drop_specials(prompt))

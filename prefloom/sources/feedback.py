@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefloom.schemas import AXIS_EVAL, COMPARISON
@@ -46,9 +47,13 @@ def published_paths(kind: str, root: str) -> list[str]:
 
 
 def read_feedback(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
-    """Records of a kind from files or folders. Keys absent from a record read as NULL; a line
-    that does not fit the schema fails the query."""
-    return spark.read.schema(feedback_kind(kind).schema).option("mode", "FAILFAST").json(paths)
+    """Records of a kind from files or folders. Keys absent from a record read as NULL; blank lines are
+    skipped; any other line that does not fit the schema fails the query, whichever columns it reads."""
+    schema = feedback_kind(kind).schema
+    lines = spark.read.text(paths).where(F.length(F.btrim("value")) > 0)
+    # The filter needs the whole record, so no column is pruned before it was checked.
+    records = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"))
+    return records.where(F.col("record").isNotNull()).select("record.*")
 
 
 def read_comparisons(spark: SparkSession, paths: str | list[str]) -> DataFrame:

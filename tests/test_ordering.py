@@ -104,3 +104,13 @@ def test_cadence_and_long_metrics(spark):
     assert [r.id for r in df.where(is_cadence_step(F.col("id"), 4, 0, last_step=9)).orderBy("id").collect()] == [0, 4, 8, 9]
     wide = spark.createDataFrame([("r", 1, 0.5, 2)], "run string, step bigint, loss double, n int")
     assert sorted(map(tuple, long_metrics(wide, ["loss", "n"]).collect())) == [("r", 1, "loss", 0.5), ("r", 1, "n", 2.0)]
+
+
+@pytest.mark.parametrize("key", ["id", "name", "at"])
+@pytest.mark.parametrize("n", [0, 3, 5, 6, 40, 299, 300, 301])
+def test_take_first_is_alike_at_every_size(spark, monkeypatch, key, n):
+    monkeypatch.setattr(od, "SMALL_LIMIT", 5)
+    monkeypatch.setattr(od, "FIRST_SAMPLE", 60)
+    df = spark.range(300).repartition(5).selectExpr("id", "md5(string(id)) name", "timestamp_seconds(id * 7919 % 1000) at")
+    df = df.selectExpr("id", "if(id = 77, null, name) name", "at")
+    assert od.take_first(df, n, key).collect() == df.orderBy(key).limit(n).collect()

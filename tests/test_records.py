@@ -121,3 +121,18 @@ def test_projection_reads_needed_columns_only(spark, tmp_path):
 def test_assemble_splits(spark):
     out = rec.assemble_splits(train=spark.range(2), validation=spark.range(1))
     assert sorted(map(tuple, out.collect())) == [(0, "train"), (0, "validation"), (1, "train")]
+
+
+def test_broken_comparisons_fail(spark, failing):
+    assert "choice must be 0 or 1, got NULL" in failing(rec.pick_chosen_rejected(frame(spark, record(choice=None))))
+    one = record()
+    one["summaries"] = one["summaries"][:1]
+    assert "two summaries" in failing(rec.pick_chosen_rejected(frame(spark, one)))
+
+
+def test_bad_lines_fail_whatever_is_read(spark, tmp_path, failing):
+    (tmp_path / "bad.json").write_text('{"choice": 1, "worker": "a"}\n\n{"choice": "abc", "worker": "b"}\n')
+    df = feedback.read_comparisons(spark, str(tmp_path))
+    failing(df.select("worker"))
+    with pytest.raises(Exception):
+        df.count()

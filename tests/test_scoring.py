@@ -42,9 +42,13 @@ def test_model_is_loaded_once_per_task(spark, tmp_path):
 
 def test_generation_gives_several_rows_per_prompt(spark):
     def make():
-        return lambda prompt: [([int(p) for p in prompt], [-0.5] * len(prompt))] * (int(prompt[0]) % 3)
+        def generate(prompts):
+            assert 0 < len(prompts) <= 4
+            return [[([int(p) for p in prompt], [-0.5] * len(prompt))] * (int(prompt[0]) % 3) for prompt in prompts]
 
-    rows = sc.generate_batches(tokens(spark, 6), "id", "tokens", make).collect()
+        return generate
+
+    rows = sc.generate_batches(tokens(spark, 6), "id", "tokens", make, batch_size=4).collect()
     assert sorted((r.id, r.response_no) for r in rows) == [(1, 0), (2, 0), (2, 1), (4, 0), (5, 0), (5, 1)]
     assert all(r.response_tokens == [r.id, 1] and r.log_probs == [-0.5, -0.5] for r in rows)
 
@@ -54,6 +58,23 @@ def test_map_rows(spark):
     assert sorted(r.twice for r in rows) == [0, 2, 4, 6, 8]
 
 
+def test_map_rows_sees_values_as_they_are(spark):
+    df = spark.createDataFrame([(9007199254740993,), (None,)], "id bigint")
+    rows = sc.map_rows(df, lambda row: {"seen": repr(row["id"]), "id": row["id"]}, "seen string, id bigint").collect()
+    assert {tuple(r) for r in rows} == {("9007199254740993", 9007199254740993), ("None", None)}
+
+
+@pytest.mark.parametrize("small_vocabulary", [0, 1, 2, 3, 1000])
+def test_decode_is_alike_at_every_size(spark, small_vocabulary):
+    big = 1 << 59
+    rows = [("k", [1, big + 1, 5]), ("k", [5]), ("n", None), ("e", []), (None, [7, None, big + 1]), ("x", [None])]
+    df = spark.createDataFrame(rows, "key string, tokens array<bigint>")
+    words = spark.createDataFrame([(big + 1, "big"), (5, "five"), (1, "special"), (9, None)], "token_id bigint, token string")
+    got = decode(df, "key", "tokens", words, small_vocabulary=small_vocabulary)
+    want = [("k", "big five"), ("k", "five"), ("n", None), ("e", ""), (None, "big"), ("x", "")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_attach_and_unscored(spark):
     scores = spark.createDataFrame([(1, 0.5)], "id bigint, score double")
     assert {tuple(r) for r in sc.attach_scores(spark.range(3), scores, "id").collect()} == {(0, None), (1, 0.5), (2, None)}

@@ -177,3 +177,17 @@ def test_word_ids_and_special_texts(spark):
     row = df.select(TOKENIZER.encode(F.col("t")).alias("ids"), TOKENIZER.count(F.col("t")).alias("n"), TOKENIZER.encode(F.col("t"), 2).alias("two")).first()
     assert row.ids[2:4] == [1, 0] and row.ids[0] == row.ids[4] and row.n == 5
     assert row.two == row.ids[:2] and all(i >= 2 for i in row.two)
+
+
+def test_prompts_that_cannot_fit_are_cut_without_encoding():
+    from prefloom.functions.tokens import longest_that_may_fit
+
+    rng = random.Random(3)
+    for _ in range(400):
+        field = "".join(rng.choice("ab\n") for _ in range(rng.randint(0, 12)))
+        room = rng.randint(-2, 13)
+        slow = field
+        while len(slow) > max(room, 0):
+            lines, found, _ = slow.rpartition("\n")
+            slow = lines if found else slow[:-1]
+        assert longest_that_may_fit(field, "\n", room) == slow
