@@ -22,6 +22,7 @@ from prefloom.llm.text import blocks, words
 
 LENGTH = 13
 GRAM = 5  # words of a key
+HOT = 512  # contexts of a key whose windows are counted one by one
 PART_BYTES = 2 << 20
 
 
@@ -130,7 +131,7 @@ def remove_seen(
     gram = min(GRAM, length)
     stored = exchange.write_blocks(df, id_column, text_column)
     job = Repeats(
-        word_symbols, lambda t: compare_shards(t, length), length, gram, "uint64", True, exchange.BLOCK_BYTES // 30
+        word_symbols, lambda t: compare_shards(t, length), length, gram, "uint64", True, exchange.BLOCK_BYTES // 30, HOT
     )
     found = job.find(stored)
     kind = df.schema[id_column].dataType.simpleString()

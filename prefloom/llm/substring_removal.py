@@ -4,7 +4,7 @@
 2. With the answers each block notes the runs that are settled, and hands out the symbols of each
    distinct context whose key has other contexts elsewhere.
 3. These are compared key by key: ordinary keys by the operator's own method, a bounded number of
-   contexts at a time; a key with more than HOT contexts is cut into single windows, which are counted
+   contexts at a time; a key with more than ``hot`` contexts is cut into single windows, which are counted
    by Spark with partial aggregation, so no key needs a task of its own.
 4. The runs of both go back to the blocks, which cut them out of their texts.
 """
@@ -23,7 +23,6 @@ from prefloom.llm.repeats import ALL, MIXED, NOT_FIRST, Anchors, anchors, distin
 from prefloom.llm.text import Spans
 from prefloom.session import scratch_path
 
-HOT = 4096
 CONTEXT = "key long, doc long, block long, at long, lo long, hi long, start long, several boolean, symbols binary"
 FLAGGED = "block long, lo long, hi long"
 
@@ -42,10 +41,11 @@ class Repeats:
         stored: str,
         by_document: bool,
         keys_to_a_block: int,
+        hot: int,
     ):
         self.symbols, self.compare = symbols, compare
         self.length, self.k, self.stored, self.by_document = length, k, stored, by_document
-        self.keys_to_a_block = keys_to_a_block
+        self.keys_to_a_block, self.hot = keys_to_a_block, hot
 
     def anchors(self, batch: pa.RecordBatch) -> tuple[Anchors, np.ndarray]:
         """All anchors of a block, and the number of the document of each: its id, or its row where ids do not matter."""
@@ -107,21 +107,28 @@ class Repeats:
         length, stored = self.length, self.stored
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    own = np.frombuffer(r["symbols"], stored).astype(np.uint64) + np.uint64(1)
-                    start = np.arange(r["hi"] - r["lo"] + 1)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    bodies = [x.as_buffer() for x in batch.column("symbols")]
+                    own = np.frombuffer(b"".join(bodies), stored).astype(np.uint64) + np.uint64(1)
+                    base = np.cumsum([0, *(b.size for b in bodies)])[:-1] // np.dtype(stored).itemsize
+                    lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
+                    row = np.repeat(np.arange(len(lo)), hi - lo + 1)
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    start = base[row] + place
                     one = Spans(own).of(start, start + length)
                     two = Spans(own, np.uint64(0xD6E8FEB86659FD93)).of(start, start + length)
-                    n = len(start)
+                    take = pa.array(row)
+                    n = np.where(batch.column("several").to_numpy(zero_copy_only=False), 2, 1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(one.astype(np.int64)),
                             pa.array(two.astype(np.int64)),
-                            pa.array([r["doc"]] * n, pa.int64()),
-                            pa.array([r["block"]] * n, pa.int64()),
-                            pa.array(start + r["lo"]),
-                            pa.array([2 if r["several"] else 1] * n, pa.int32()),
+                            batch.column("doc").take(take),
+                            batch.column("block").take(take),
+                            pa.array(lo[row] + place),
+                            pa.array(n[row]),
                         ],
                         ["one", "two", "doc", "block", "lo", "n"],
                     )
@@ -160,7 +167,7 @@ class Repeats:
         settled = noted.where(F.col("key").isNull()).select("block", F.col("symbols").alias("settled"))
         contexts = noted.where(F.col("key").isNotNull())
         sizes = contexts.groupBy("key").agg(F.count("*").alias("n"))
-        hot = sizes.where(F.col("n") > HOT).select("key")
+        hot = sizes.where(F.col("n") > self.hot).select("key")
         hot_path = scratch_path(spark, "hot")
         hot.write.parquet(hot_path)
         hot = spark.read.parquet(hot_path)

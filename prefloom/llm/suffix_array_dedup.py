@@ -25,6 +25,7 @@ from prefloom.llm.text import _BYTES, blocks
 
 LENGTH = 400
 ROWS = 20_000
+HOT = 4096  # contexts of a key whose windows are counted one by one
 PART_BYTES = 1 << 20
 
 
@@ -110,7 +111,7 @@ def remove_repeats(
     k = length - length // 2 + 1
     stored = exchange.write_blocks(df, id_column, text_column)
     job = Repeats(
-        byte_symbols, lambda t: compare_columns(t, length, k), length, k, "uint8", False, exchange.BLOCK_BYTES * 4 // length
+        byte_symbols, lambda t: compare_columns(t, length, k), length, k, "uint8", False, exchange.BLOCK_BYTES * 4 // length, HOT
     )
     found = job.find(stored)
     kind = df.schema[id_column].dataType.simpleString()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import brute
-from prefloom.llm import substring_removal
+from prefloom.llm import substring_dedup, suffix_array_dedup
 from prefloom.llm.substring_dedup import SuffixAutomaton, remove_seen
 from prefloom.llm.suffix_array_dedup import insert_columns, remove_repeats
 
@@ -34,7 +34,7 @@ def test_bytes_against_brute_force(spark, length):
 
 @pytest.mark.parametrize("hot", [2, 4096])
 def test_words_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_removal, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     rows = texts(3, "ab c d", 5)
     ids = [None if i == 9 else 7 if i in (3, 12) else i for i in range(len(rows))]
     got = remove_seen(brute.frame(spark, rows, ids), 5).collect()
@@ -44,7 +44,7 @@ def test_words_against_brute_force(spark, monkeypatch, hot):
 
 
 def test_hot_keys_of_bytes(spark, monkeypatch):
-    monkeypatch.setattr(substring_removal, "HOT", 1)
+    monkeypatch.setattr(suffix_array_dedup, "HOT", 1)
     rows = texts(5)
     got = remove_repeats(brute.frame(spark, rows), 30, keep_text=False).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute.remove_bytes(rows, 30)
