@@ -15,41 +15,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from prefloom.llm import exchange
-from prefloom.llm.text import LOWER, Spans, blocks, mixed, words
+from prefloom.llm.text import LOWER, Spans, Words, blocks, mixed, words
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 PART_BYTES = 2 << 20
 MICRO = 1_000_000
 
 
-def grams(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the 1..order-grams that end at each word (0 where the text is too short), and the text of each word."""
-    by_order: list[list[np.ndarray]] = [[] for _ in range(order)]
-    docs, row = [], 0
+def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
+    """First row, number of rows and words of a block's texts, some megabytes at a time."""
+    row = 0
     for block in blocks([batch], "text", PART_BYTES):
-        own = words(LOWER[block.data], block.offsets)
-        n, doc = len(own.hash), own.text
-        place = np.arange(n) - own.first[:-1][doc]
-        spans = Spans(own.hash)
-        for o in range(1, order + 1):
-            fits = place >= o - 1
-            end = np.flatnonzero(fits) + 1
-            key = np.zeros(n, dtype=np.uint64)
-            key[fits] = mixed(spans.of(end - o, end) + np.uint64(o)) | np.uint64(1)
-            by_order[o - 1].append(key)
-        docs.append(doc + row)
+        yield row, block.rows.num_rows, words(LOWER[block.data], block.offsets)
         row += block.rows.num_rows
-    return [np.concatenate(k) for k in by_order], np.concatenate(docs)
+
+
+def grams(own: Words, order: int) -> list[np.ndarray]:
+    """Hashes of the 1..order-grams that end at each word, 0 where the text is too short."""
+    n = len(own.hash)
+    place = np.arange(n) - own.first[:-1][own.text]
+    spans = Spans(own.hash)
+    out = []
+    for o in range(1, order + 1):
+        fits = place >= o - 1
+        end = np.flatnonzero(fits) + 1
+        key = np.zeros(n, dtype=np.uint64)
+        key[fits] = mixed(spans.of(end - o, end) + np.uint64(o)) | np.uint64(1)
+        out.append(key)
+    return out
 
 
 def counted(batch: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a block and their counts; key 0 counts its words."""
-    keys, _ = grams(batch, order)
-    every = np.concatenate(keys)
-    key, count = np.unique(every[every > 0], return_counts=True)
-    return np.concatenate([np.zeros(1, np.uint64), key]), np.concatenate([[len(keys[0])], count]).astype(np.int64)
+    keys, counts, n = [], [], 0
+    for _, _, own in parts(batch):
+        n += len(own.hash)
+        for key in grams(own, order):
+            key, count = np.unique(key[key > 0], return_counts=True)
+            keys.append(key)
+            counts.append(count)
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key))
+    return np.concatenate([np.zeros(1, np.uint64), key]), np.concatenate([[n], count]).astype(np.int64)
 
 
 def merge(requests: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -70,6 +79,28 @@ def others(key: np.ndarray, doc: np.ndarray, known: np.ndarray, total: np.ndarra
     return np.where(key > 0, n - own, 0)
 
 
+def scored(own: Words, n: int, known: np.ndarray, total: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, ...]:
+    """For each of n texts: words, words scored by the longest n-gram, words that no other text has, and the score."""
+    keys, doc = grams(own, order), own.text
+    n_words = np.diff(own.first)
+    outside = (total[0] - n_words)[doc]
+    counts = [others(k, doc, known, total) for k in keys]
+    value = np.where(counts[0] > 0, counts[0], 1) / np.where(counts[0] > 0, np.maximum(outside, 1), outside + 1)
+    longest = np.minimum(np.arange(len(doc)) - own.first[:-1][doc], order - 1)
+    used = np.zeros(len(doc), dtype=np.int64)
+    for o in range(1, order):
+        hit = counts[o] > 0
+        context = np.concatenate([[1], counts[o - 1][:-1]])
+        value = np.where(hit, counts[o] / np.maximum(context, 1), value)
+        used = np.where(hit, o, used)
+    micro = np.round((np.log(value) + (longest - used) * np.log(backoff)) * MICRO).astype(np.int64)
+    unseen = (used == 0) & (counts[0] == 0)
+    sums = np.zeros(n, dtype=np.int64)
+    np.add.at(sums, doc, micro)
+    hits = np.bincount(doc[(used == longest) & ~unseen], minlength=n)
+    return n_words, hits, np.bincount(doc[unseen], minlength=n), sums
+
+
 def score(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns ``id_column``, n_words, n_hits (words scored by the longest n-gram they end), n_unseen and log_score
     (the sum of natural logarithms, in millionths and rounded word by word, so that sums are exact).
@@ -86,28 +117,13 @@ def score(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_column
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, parts in zip(batch.column("payload"), batch.column("parts")):
+            for payload, parts_ in zip(batch.column("payload"), batch.column("parts")):
                 docs = exchange.unpacked(payload.as_py())
-                known, total = counted(docs, order)[0], exchange.joined(parts, "int64")
-                keys, doc = grams(docs, order)
-                n_words = np.bincount(doc, minlength=docs.num_rows)
-                outside = (total[0] - n_words)[doc].astype(np.float64)
-                counts = [others(k, doc, known, total) for k in keys]
-                value = np.where(counts[0] > 0, counts[0], 1) / np.where(counts[0] > 0, np.maximum(outside, 1), outside + 1)
-                longest = np.minimum(np.arange(len(doc)) - np.searchsorted(doc, doc), order - 1)
-                used = np.zeros(len(doc), dtype=np.int64)
-                for o in range(1, order):
-                    hit = counts[o] > 0
-                    context = np.concatenate([[1], counts[o - 1][:-1]])
-                    value = np.where(hit, counts[o] / np.maximum(context, 1), value)
-                    used = np.where(hit, o, used)
-                micro = np.round((np.log(value) + (longest - used) * np.log(backoff)) * MICRO).astype(np.int64)
-                unseen = (used == 0) & (counts[0] == 0)
-                per = lambda x: np.bincount(doc, weights=x, minlength=docs.num_rows).astype(np.int64)
-                sums = np.zeros(docs.num_rows, dtype=np.int64)
-                np.add.at(sums, doc, micro)
-                arrays = [docs.column(0), pa.array(n_words), pa.array(per((used == longest) & ~unseen)), pa.array(per(unseen)), pa.array(sums)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_hits", "n_unseen", "log_score"])
+                known, total = counted(docs, order)[0], exchange.joined(parts_, "int64")
+                for row, n, own in parts(docs):
+                    n_words, n_hits, n_unseen, sums = scored(own, n, known, total, order, backoff)
+                    arrays = [docs.column(0).slice(row, n), *(pa.array(x) for x in (n_words, n_hits, n_unseen, sums))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_hits", "n_unseen", "log_score"])
 
     out = stored.join(replies, "block").mapInArrow(sums, f"id {kind}, n_words long, n_hits long, n_unseen long, log_score long")
     return out.withColumnRenamed("id", id_column)
