@@ -208,7 +208,7 @@ def audit_rollouts_query(spark, d):
 def stream_mean_score_query(spark, d):
     source = scratch_path(spark, "stream-in")
     rows = v.table(spark, d, "events").select("event_type", "value")
-    rows.repartition(4).write.parquet(source)
+    rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
     target = scratch_path(spark, "means")
     st.update_means(st.running_means(stream, "event_type", "value"), target, f"{target}-checkpoint").awaitTermination()
@@ -221,7 +221,7 @@ def stream_mean_score_query(spark, d):
 )
 def stream_comparisons_query(spark, d):
     source = scratch_path(spark, "stream-in")
-    v.comparisons(spark, d).repartition(4).write.json(source)
+    v.comparisons(spark, d).write.json(source)
     target = scratch_path(spark, "stream-out")
     stream = st.stream_comparisons(spark, source, files_per_trigger=2)
     flat = stream.select("info.id", "worker", "split", "chosen", "rejected")

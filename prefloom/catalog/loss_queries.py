@@ -137,12 +137,8 @@ def grpo_loss_query(spark, d):
     rows = tokens(spark, d)
     surrogate = ls.clipped_surrogate(ls.clamped_ratio(F.col("lp"), F.col("old")), F.col("advantage"))
     penalty = ls.kl_penalty(F.col("lp"), F.col("ref"), "k3")
-    out = None
-    for mode in ls.LOSS_MODES:
-        both = tl.reduce_losses(rows, {"policy": surrogate, "kl": penalty}, mode)
-        one = both.select(F.lit(mode).alias("mode"), rounded(ls.grpo_loss(F.col("policy"), F.col("kl"))).alias("loss"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    both = tl.losses_by_mode(rows, {"policy": surrogate, "kl": penalty})
+    return both.select("mode", rounded(ls.grpo_loss(F.col("policy"), F.col("kl"))).alias("loss"))
 
 
 @query(

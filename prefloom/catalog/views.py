@@ -150,7 +150,10 @@ def reference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def old_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_log(spark, sf_dir).select((F.col("vec_id") - 1).alias("vec_id"), "log_probs")
+    """The same numbers one place later; every third sequence moved far enough to reach the clamps."""
+    moved = F.when(F.col("vec_id") % 3 == 0, F.lit(60.0)).otherwise(F.lit(1.0))
+    turned = F.concat(F.slice("log_probs", LOG_PROB_WIDTH, 1), F.slice("log_probs", 1, LOG_PROB_WIDTH - 1))
+    return token_log(spark, sf_dir).select("vec_id", F.transform(turned, lambda x: x * moved).alias("log_probs"))
 
 
 def scores_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,10 +302,11 @@ SQL_VIEWS = {
                list_transform(range({LOG_PROB_WIDTH}), lambda i: i < 8 + vec_id % 57) AS mask,
                label - 4.5::DOUBLE AS advantage, label
         FROM embeddings)""",
-    "v_aligned": """v_aligned AS (
-        SELECT p.vec_id, p.log_probs AS policy_log_probs, o.log_probs AS old_log_probs,
-               list_reverse(p.log_probs) AS ref_log_probs, p.mask, p.advantage, p.label
-        FROM v_token_log p JOIN v_token_log o ON o.vec_id = p.vec_id + 1)""",
+    "v_aligned": f"""v_aligned AS (
+        SELECT vec_id, log_probs AS policy_log_probs,
+               list_transform(list_concat(log_probs[{LOG_PROB_WIDTH}:{LOG_PROB_WIDTH}], log_probs[1:{LOG_PROB_WIDTH - 1}]), lambda x: x * CASE WHEN vec_id % 3 = 0 THEN 60.0::DOUBLE ELSE 1.0::DOUBLE END) AS old_log_probs,
+               list_reverse(log_probs) AS ref_log_probs, mask, advantage, label
+        FROM v_token_log)""",
     "v_tokens": """v_tokens AS (
         SELECT vec_id, label, advantage, unnest(policy_log_probs) AS lp, unnest(old_log_probs) AS old,
                unnest(ref_log_probs) AS ref, unnest(mask) AS m, unnest(range(64)) AS pos FROM v_aligned)""",

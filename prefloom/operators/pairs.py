@@ -63,7 +63,14 @@ def dpo_pair_metrics(df: DataFrame, beta: float, label_smoothing: float = 0.0) -
 
 def align_policy_reference(policy: DataFrame, old: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     """Policy, old and reference log-probabilities of the same sequences side by side. Keys are
-    unique on each side; each input brings its key and ``log_probs``."""
+    unique on each side; each input brings its key and ``log_probs``. A sequence of the policy that
+    lacks one of the others fails the query; sequences the policy does not have are left out."""
     out = policy.withColumnRenamed("log_probs", "policy_log_probs")
-    out = out.join(old.select(key, F.col("log_probs").alias("old_log_probs")), key)
-    return out.join(reference.select(key, F.col("log_probs").alias("ref_log_probs")), key)
+    for side, name in ((old, "old"), (reference, "ref")):
+        column = f"{name}_log_probs"
+        other = side.select(key, F.col("log_probs").alias(column), F.lit(True).alias("_there"))
+        missing = F.raise_error(F.concat(F.lit(f"no {column} for sequence "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+        kind = side.schema["log_probs"].dataType
+        out = out.join(other, key, "left")
+        out = out.withColumn(column, F.when(F.col("_there"), F.col(column)).otherwise(missing.cast(kind))).drop("_there")
+    return out

@@ -44,6 +44,12 @@ def reduce_losses(
     return tokens.groupBy(*by).agg(*[_reduced(loss, mode).alias(name) for name, loss in losses.items()])
 
 
+def losses_by_mode(tokens: DataFrame, losses: Mapping[str, Column], modes: Sequence[str] = LOSS_MODES) -> DataFrame:
+    """(mode, one column per loss) over all tokens, every mode from the same pass."""
+    rows = [F.struct(F.lit(m).alias("mode"), *[_reduced(loss, m).alias(name) for name, loss in losses.items()]) for m in modes]
+    return tokens.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))
+
+
 def agg_losses(df: DataFrame, losses: str, mask: str, modes: Sequence[str] = LOSS_MODES) -> DataFrame:
     """(mode, loss) for arrays of token losses, all modes from one pass."""
     tokens = token_rows(df, mask, {"loss": losses})

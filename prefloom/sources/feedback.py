@@ -10,12 +10,11 @@ from pyspark.sql import types as T
 
 from prefloom.schemas import AXIS_EVAL, COMPARISON
 
-# The files of each kind in the published data set.
+# The files of each kind in the published data set, in its order.
 COMPARISON_FILES = (
-    "batch3.json", "batch4.json", "batch5.json", "batch6.json", "batch7.json", "batch8.json",
-    "batch9.json", "batch10.json", "batch11.json", "batch12.json", "batch13.json", "batch14.json",
-    "batch15.json", "batch16.json", "batch17.json", "batch18.json", "batch19.json", "batch20.json",
-    "batch22.json",
+    "batch3.json", "batch4.json", "batch5.json", "batch10.json", "batch11.json", "batch12.json",
+    "batch13.json", "batch14.json", "batch15.json", "batch16.json", "batch17.json", "batch18.json",
+    "batch19.json", "batch20.json", "batch22.json", "batch6.json", "batch7.json", "batch8.json", "batch9.json",
     "batch0_cnndm.json", "cnndm0.json", "cnndm2.json", "edit_b2_eval_test.json",
 )
 AXIS_FILES = ("cnndm1.json", "cnndm3.json", "cnndm4.json", "tldraxis1.json", "tldraxis2.json")

@@ -79,9 +79,10 @@ def write_with_scores(df: DataFrame, path: str, score: Column, name: str = "rewa
 
 
 def write_text_report(df: DataFrame, path: str, step: str, reward: str, text: str) -> None:
-    """Append one text record per row (reward, text, rule) to the folder of its step."""
+    """Append one text record per row (reward, text, rule) to the folder of its step. Rows of a step meet in one
+    task, or in several of bounded size, so a step gets few files."""
     report = df.select(F.col(step).alias("step"), reward_report(F.col(reward), F.col(text)).alias("value"))
-    report.write.mode("append").partitionBy("step").text(path)
+    report.hint("rebalance", "step").write.mode("append").partitionBy("step").text(path)
 
 
 def append_metrics(df: DataFrame, path: str, *metrics: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,7 +45,12 @@ def update_means(means: DataFrame, target: str, checkpoint: str) -> StreamingQue
 
 
 def latest_means(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """The last state of every key."""
-    rows = spark.read.parquet(target)
+    """The last state of every key; no rows where no batch was written yet."""
+    try:
+        rows = spark.read.parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], f"{key} string, mean_score double, n bigint")
     latest = F.max_by(F.struct("mean_score", "n"), "batch").alias("_last")
     return rows.groupBy(key).agg(latest).select(key, "_last.*")

@@ -44,10 +44,16 @@ def test_dpo_eval(spark):
     assert report.eval_loss == pytest.approx((math.log1p(math.exp(-0.75)) + math.log(2)) / 2)
 
 
-def test_alignment_by_key(spark):
-    logs = [spark.createDataFrame([(i, [float(i + s)]) for i in ids], "k int, log_probs array<double>") for s, ids in ((0, (1, 2)), (10, (2, 1)), (20, (2,)))]
-    rows = pr.align_policy_reference(*logs, "k").collect()
-    assert [tuple(r) for r in rows] == [(2, [2.0], [12.0], [22.0])]
+def test_alignment_by_key(spark, failing):
+    def logs(*sides):
+        return [
+            spark.createDataFrame([(i, [float(i + 10 * n)]) for i in ids], "k int, log_probs array<double>")
+            for n, ids in enumerate(sides)
+        ]
+
+    rows = pr.align_policy_reference(*logs((1, 2), (2, 1), (2, 1, 3)), "k").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, [1.0], [11.0], [21.0]), (2, [2.0], [12.0], [22.0])]
+    assert "no ref_log_probs for sequence 1" in failing(pr.align_policy_reference(*logs((1, 2), (2, 1), (2,)), "k"))
 
 
 def test_accumulation_drops_the_tail_unless_told(spark):
