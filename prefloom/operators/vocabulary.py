@@ -16,7 +16,7 @@ from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, joi
 from prefloom.session import cut_lineage
 
 # Vocabularies up to this many entries and bytes are sent to every task.
-SMALL_VOCABULARY = 300_000
+SMALL_VOCABULARY = 1_000_000
 SMALL_VOCABULARY_BYTES = 64 << 20
 # Sequences looked at to find tokens that make up a large share of a data set.
 SAMPLE_SEQUENCES = 2_000
