@@ -43,9 +43,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Paths handed out in this process, in order; who made some of them can drop them again.
+_handed_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/prefloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/prefloom-{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def scratch_made() -> list[str]:
+    return list(_handed_out)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str], still_read: DataFrame) -> None:
+    """Delete scratch folders of this process that ``still_read`` does not read."""
+    files = still_read.inputFiles()
+    for path in paths:
+        if path in _handed_out and not any(path.rpartition("/")[2] in f for f in files):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _handed_out.remove(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
