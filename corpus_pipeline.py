@@ -6,6 +6,8 @@ the next one's docs. All but the last return the columns of documents. Rows need
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from prefloom.llm.jaccard_join import jaccard_classes
 from prefloom.llm.quality_rules import judge, sketches, with_metrics
 from prefloom.llm.queries import table, tokenizer_path
 from prefloom.llm.secret_scans import redact, scan
-from prefloom.session import cut_lineage, scratch_path
+from prefloom.session import cut_lineage, drop_scratch, scratch_made, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +55,29 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs, tokenizer_path())
 
 
+_earlier: list[str] = []  # scratch folders of the stage before
+
+
+def _tidy(stage):
+    """A stage that first drops the scratch of the one before, whose result was written and read again."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, _earlier, docs)
+        before = set(scratch_made())
+        out = stage(spark, docs, sf_dir)
+        _earlier[:] = [p for p in scratch_made() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", jaccard_join),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("secret scans", secret_scans),
-    ("best-fit packing", best_fit_packing),
+    ("quality rules", _tidy(quality_rules)),
+    ("n-gram Jaccard join", _tidy(jaccard_join)),
+    ("benchmark decontamination", _tidy(benchmark_decontamination)),
+    ("secret scans", _tidy(secret_scans)),
+    ("best-fit packing", _tidy(best_fit_packing)),
 ]
 
 # Tokenization and the forest have no SQL; the tests compare the stages with brute force.

@@ -25,6 +25,7 @@ KEYWORDS = re.compile(r"token|secret|passw|pwd|api|key|auth|bearer|credential",
 PLACEHOLDERS = re.compile(r"example|sample|dummy|fake|test|placeholder|redacted", re.I)
 DICTIONARY_WORDS = 2000
 SAMPLE_ROWS = 20_000
+BROADCAST_TEXTS = 500_000  # texts with secrets; their spans take some 50 bytes each
 TREES, DEPTH, SEED = 20, 6, 17
 FEATURES = (
     "length digits upper lower symbols entropy class_changes vowel_changes repeated dictionary "
@@ -192,7 +193,9 @@ def redact(df: DataFrame, judged: DataFrame, id_column: str = "doc_id", text_col
     spans = judged.where("is_secret").select(
         F.col(id_column).alias("_id"), F.col("text_key").alias("_key"), F.struct("start", "end").alias("span")
     )
-    spans = spans.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("span")).alias("_spans"))
+    spans = cut_lineage(spans.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("span")).alias("_spans")))
+    if spans.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        spans = F.broadcast(spans)  # else texts and spans are joined by shuffle
     same = F.col(id_column).eqNullSafe(F.col("_id")) & (text_key(text_column) == F.col("_key"))
     joined = df.join(spans, same, "left")
     text, spans = F.col(text_column), F.col("_spans")
