@@ -21,6 +21,8 @@ from prefloom.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
 LEAST_RANGES = 256
+# A row's number is 63 bits: 23 for its partition, 20 for its block in there and 20 for its place in the block.
+BLOCK_BITS = ROW_BITS = 20
 
 
 def packed(batch: pa.RecordBatch) -> bytes:
@@ -45,14 +47,24 @@ def from_planes(body: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def write_blocks(df: DataFrame, id_column: str, text_column: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (block, payload); a payload holds the columns id and text of consecutive rows."""
+def row_numbers(block: int, first: int, n: int) -> np.ndarray:
+    """Numbers of ``n`` consecutive rows of a block, unlike those of all other rows."""
+    return (block << ROW_BITS) + first + np.arange(n)
+
+
+def write_blocks(
+    df: DataFrame, id_column: str, text_column: str, block_bytes: int = BLOCK_BYTES, block_rows: int = 1 << ROW_BITS
+) -> DataFrame:
+    """Rows (block, payload); a payload holds the columns id and text of consecutive rows, ``block_rows`` at most."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        number = TaskContext.get().partitionId() << BLOCK_BITS
+        beyond = number + (1 << BLOCK_BITS)
+        held, size, n = [], 0, 0
 
         def out() -> pa.RecordBatch:
+            if number >= beyond:
+                raise ValueError(f"a partition has more than {1 << BLOCK_BITS} blocks; read the table in more partitions")
             table = pa.Table.from_batches(held).combine_chunks()
             body = packed(table.to_batches()[0])
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary())], ["block", "payload"])
@@ -63,12 +75,13 @@ def write_blocks(df: DataFrame, id_column: str, text_column: str, block_bytes: i
             first = 0
             while first < batch.num_rows:
                 last = max(first + 1, int(np.searchsorted(ends, ends[first] + block_bytes - size, side="right")) - 1)
+                last = min(last, first + block_rows - n)
                 held.append(batch.slice(first, last - first))
-                size += int(ends[last] - ends[first])
+                size, n = size + int(ends[last] - ends[first]), n + last - first
                 first = last
-                if size >= block_bytes or first < batch.num_rows:
+                if size >= block_bytes or n >= block_rows or first < batch.num_rows:
                     yield out()
-                    held, size, number = [], 0, number + 1
+                    held, size, n, number = [], 0, 0, number + 1
         if held:
             yield out()
 

@@ -321,7 +321,7 @@ def jaccard_classes(
                 for base, own in sets_of(docs, width, shared.value):
                     n = len(own.size)
                     one, two = own.one.astype(np.int64), own.two.astype(np.int64)
-                    row = (block.as_py() << 24) + base + np.arange(n)
+                    row = exchange.row_numbers(block.as_py(), base, n)
                     empty = pa.nulls(n, pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [docs.column(0).slice(base, n), pa.array(row), pa.array(own.size), empty, pa.array(one), pa.array(two), pa.nulls(n, pa.binary())],

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import brute
-from prefloom.llm import jaccard_join
+from prefloom.llm import exchange, jaccard_join
 from prefloom.llm.jaccard_join import components, jaccard_classes
 
 
@@ -47,3 +47,22 @@ def test_components(spark):
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert dict(map(tuple, got)) == brute.reach(edges) and len(got) == len(brute.reach(edges))
+
+
+def test_more_than_128_partitions(spark):
+    rows = [f"text {i % 350} of a table in many parts" for i in range(600)]
+    got = jaccard_classes(brute.frame(spark, rows).repartition(300)).orderBy("doc_id").collect()
+    first, sizes = brute.classes(rows)
+    assert [(r.n_shingles, r.component_id) for r in got] == [(s, f + 1) for s, f in zip(sizes, first)]
+    assert sum(r.is_first for r in got) == len(set(first))
+
+
+def test_numbers_of_rows(spark):
+    rows = brute.frame(spark, [None, "a", ""] * 100).repartition(7)
+    stored = exchange.write_blocks(rows, "doc_id", "text", block_rows=4).collect()
+    sizes = [exchange.unpacked(r.payload).num_rows for r in stored]
+    assert sum(sizes) == 300 and max(sizes) == 4
+    numbers = [int(x) for r, n in zip(stored, sizes) for x in exchange.row_numbers(r.block, 0, n)]
+    assert len(set(numbers)) == 300
+    last = (1 << 63 - exchange.ROW_BITS) - 1
+    assert int(exchange.row_numbers(last, (1 << exchange.ROW_BITS) - 1, 1)[0]) == (1 << 63) - 1
