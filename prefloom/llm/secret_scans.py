@@ -1,6 +1,7 @@
 """Secret scans: candidate strings judged by a random forest that was trained on labelled findings.
 
-A candidate is a long run of key characters. Its features are its length, its character transitions, how
+A candidate is a long run of key characters, or the whole value that is assigned to a key word or stands quoted
+beside one, of any length and alphabet. Its features are its length, its character transitions, how
 much of it dictionary words cover, its path and the words beside it; the forest (MLlib) removes the false
 positives. It is fitted on at most ``sample_rows`` labelled findings; everything else sees every row.
 """
@@ -22,6 +23,12 @@ from prefloom.session import cut_lineage
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KEYWORDS = re.compile(r"token|secret|passw|pwd|api|key|auth|bearer|credential", re.I)
+ASSIGNED = re.compile(r"(?<![\w.-])([\w.-]++)[\"'`\])]*+[ \t]*+(?:=>|:=|==|=|:)[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?", re.I)
+OPEN = re.compile(r"[bru]{0,2}f?([\"'`])\1*", re.I)
+OPEN_BESIDE = re.compile(r"(?<!\w)([\"'`])\1*")
+BODY = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)++(?={q})") for q in "\"'`"}
+BARE = re.compile(r"\S+")
+ANY = re.compile(r".*", re.S)
 PLACEHOLDERS = re.compile(r"example|sample|dummy|fake|test|placeholder|redacted", re.I)
 DICTIONARY_WORDS = 2000
 SAMPLE_ROWS = 20_000
@@ -33,11 +40,50 @@ FEATURES = (
 ).split()
 
 
+def _beside(text: str, at: int) -> str:
+    return " ".join(text[max(0, at - 60) : at].split()[-4:])
+
+
+def whole_values(text: str) -> Iterator[re.Match]:
+    """Values assigned to a name with a key word, and quoted ones with a key word among the four words before.
+
+    A quoted value ends at its quote, another one at the next blank.
+    """
+    if not KEYWORDS.search(text):
+        return
+    for m in ASSIGNED.finditer(text):
+        if KEYWORDS.search(m.group(1)):
+            quote = OPEN.match(text, m.end())
+            if quote and quote.end() - quote.start(1) == 2:
+                continue  # an empty value
+            value = quote and BODY[quote.group(1)].match(text, quote.end()) or BARE.match(text, m.end())
+            if value:
+                yield value
+    at = 0
+    while quote := OPEN_BESIDE.search(text, at):
+        value = BODY[quote.group(1)].match(text, quote.end()) if quote.end() - quote.start() != 2 else None
+        at = value.end() + 1 if value else quote.end()
+        if value and KEYWORDS.search(_beside(text, quote.start())):
+            yield value
+
+
 def candidates(text: str) -> Iterator[re.Match]:
-    """Runs of key characters with a digit, or so long that no word is."""
-    for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() >= 24 or any(c.isdigit() for c in m.group()):
-            yield m
+    """Whole values beside key words (overlapping ones are one); in the rest, runs of key characters with a
+    digit, or so long that no word is."""
+    merged: list[list[int]] = []
+    for start, end in sorted(m.span() for m in whole_values(text)):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    at = 0
+    for start, end in [*merged, (len(text), len(text))]:
+        for m in CANDIDATE.finditer(text, at, start):
+            if m.end() - m.start() >= 24 or any(c.isdigit() for c in m.group()):
+                yield m
+        if start < end:
+            yield ANY.match(text, start, end)
+        at = end
 
 
 def dictionary_coverage(value: str, dictionary: frozenset[str]) -> float:
@@ -69,9 +115,9 @@ def features(text: str, m: re.Match, path: str, dictionary: frozenset[str]) -> l
         kinds.count(2) / n,
         kinds.count(3) / n,
         -sum(c / n * math.log2(c / n) for c in counts.values()),
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1),
-        sum(a != b for a, b in zip(vowels, vowels[1:])) / (n - 1),
-        sum(a == b for a, b in zip(value, value[1:])) / (n - 1),
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1),
+        sum(a != b for a, b in zip(vowels, vowels[1:])) / max(n - 1, 1),
+        sum(a == b for a, b in zip(value, value[1:])) / max(n - 1, 1),
         dictionary_coverage(value, dictionary),
         float(path.count("/")),
         sum(c.isdigit() for c in path) / max(len(path), 1),

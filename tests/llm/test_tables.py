@@ -1,8 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from prefloom.llm.secret_scans import FEATURES, candidates, dictionary_coverage, find_candidates, judge, redact, scan, text_key, weak_label
+from prefloom.llm.secret_scans import FEATURES, candidates, dictionary_coverage, features, find_candidates, judge, redact, scan, text_key, weak_label
 from prefloom.llm.url_filters import HOST_RULES, PATTERN_RULES, UrlRule, filter_urls, rule_index
 from prefloom.llm.warc_revisits import resolve_revisits
 
@@ -140,3 +142,38 @@ def test_without_labels_nothing_is_a_secret(spark):
     assert scan(empty).count() == 0 and redact(empty, scan(empty)).count() == 0
     both = docs.select(text_key("text").alias("k")).distinct().count()
     assert both == docs.select("text").distinct().count()
+
+
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        ('password = "hunter2-Zx9"', ["hunter2-Zx9"]),
+        ("db_passwd: p@ssw0rd-long-enough-123! next", ["p@ssw0rd-long-enough-123!"]),
+        ("api_key='abcdefghijklmnopqr'", ["abcdefghijklmnopqr"]),
+        ('{"secret": "a \\"b\\" \u00e9 c", "name": "value"}', ['a \\"b\\" \u00e9 c']),
+        ("the password is 'x#1', not 'y#2' as somebody else had written", ["x#1", "y#2"]),
+        ("Authorization: Bearer a.b-c~d", ["a.b-c~d"]),
+        ("pwd=''\npwd=q", ["q"]),
+        ('token=a"b and "c d"e', ['a"b', "c d"]),
+        (f"password={KEY}! {KEY}", [f"{KEY}!", KEY]),
+        ("name = 'hunter2-Zx9', it's what they don't say", []),
+    ],
+)
+def test_whole_values_beside_key_words(text, values):
+    assert [m.group() for m in candidates(text)] == values
+    assert all(len(features(text, m, "", frozenset())) == len(FEATURES) for m in candidates(text))
+
+
+def test_candidates_of_long_lines_take_linear_time():
+    for part in ("key", "key=\"", "key='a ", "token: ", "password \\", '"key '):
+        began = time.monotonic()
+        list(candidates(part * 50_000))
+        assert time.monotonic() - began < 5
+
+
+def test_short_and_punctuated_passwords_are_redacted(spark):
+    rows = [r.text for r in corpus(spark).collect()]
+    secret = [f"p@{i}!" if i % 2 else f"Hunter{i}-Zx9" for i in range(60)]
+    docs = brute.frame(spark, rows + [f"some words password = \"{s}\" and more words" for s in secret])
+    clean = {r.doc_id: r.text for r in redact(docs, scan(docs)).collect()}
+    assert [clean[len(rows) + 1 + i] for i in range(60)] == ['some words password = "<secret>" and more words'] * 60
