@@ -12,6 +12,7 @@ from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.jaccard_join import jaccard_classes
 from prefloom.llm.lm_scoring import score
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
+from prefloom.llm.ranked_search import ranked
 from prefloom.llm.secret_scans import scan
 from prefloom.llm.substring_dedup import remove_seen
 from prefloom.llm.suffix_array_dedup import remove_repeats
@@ -345,3 +346,34 @@ FROM doc LEFT JOIN s USING (rid)
 )
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), size AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS total FROM doc WHERE len(w) > 0
+), item AS (
+  SELECT row_number() OVER () AS no, item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), asked AS (SELECT no, item_id, t, count(*) AS times FROM (SELECT no, item_id, unnest(w) AS t FROM item) GROUP BY ALL
+), post AS (
+  SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM doc)
+  WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(size.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, size GROUP BY t
+), hit AS (
+  SELECT no, item_id, rid, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * post.n * size.n) // size.total)))) AS BIGINT) AS score
+  FROM asked JOIN post USING (t) JOIN weight USING (t), size GROUP BY ALL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM hit WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
