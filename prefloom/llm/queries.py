@@ -16,6 +16,7 @@ from prefloom.llm.ranked_search import ranked
 from prefloom.llm.secret_scans import scan
 from prefloom.llm.substring_dedup import remove_seen
 from prefloom.llm.suffix_array_dedup import remove_repeats
+from prefloom.llm.token_alignment import alignment
 from prefloom.llm.url_filters import HOST_RULES, PATTERN_RULES, filter_urls
 from prefloom.llm.warc_revisits import TRACKING, resolve_revisits
 
@@ -377,3 +378,9 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE r
 )
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
