@@ -11,6 +11,7 @@ from prefloom.llm.benchmark_decontamination import contaminated, decontaminate,
 from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.jaccard_join import jaccard_classes
 from prefloom.llm.lm_scoring import score
+from prefloom.llm.nn_descent import near_duplicates
 from prefloom.llm.quality_rules import FENCES, judge, sketches, with_metrics
 from prefloom.llm.ranked_search import ranked
 from prefloom.llm.secret_scans import scan
@@ -384,3 +385,27 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query(
+    r"""
+WITH RECURSIVE vec AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x : CAST(x AS DOUBLE)) AS v FROM embeddings
+), good AS (
+  SELECT * FROM vec WHERE len(v) > 0 AND len(list_filter(v, lambda x : x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x : x <> 0)) > 0
+), edge AS MATERIALIZED (
+  SELECT a.rid AS u, b.rid AS w FROM good a JOIN good b ON a.rid <> b.rid AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT rid AS u, rid AS w FROM vec
+  UNION SELECT reach.u, edge.w FROM reach JOIN edge ON edge.u = reach.w
+), least AS (SELECT u, min(vec_id) AS component_id FROM reach JOIN vec ON vec.rid = reach.w GROUP BY u
+), degree AS (SELECT u, count(*) AS n FROM edge GROUP BY u
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vec JOIN least ON least.u = rid LEFT JOIN degree ON degree.u = rid
+"""
+)
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
