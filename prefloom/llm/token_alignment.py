@@ -6,7 +6,7 @@ both lists at once, divide the walk into pieces of equal work that know nothing
 (``piece_bounds``, ``piece_overlaps``). Where both tokens end together a group ends; a piece that begins just
 behind an end which its neighbour has already taken is stitched to it there (``Aligned``).
 
-Documents are aligned a megabyte or so at a time; the token ids of linked pairs are kept as one row a slice in
+Documents are aligned some hundred kilobytes at a time; the token ids of linked pairs are kept as one row a slice in
 the shared folder. Pairs are counted per task before they are shuffled. The counts go back to the slices by
 broadcasts of at most ``PAIRS_AT_ONCE`` pairs, a further lot of pairs being one more pass over the slices.
 """
@@ -19,9 +19,11 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from prefloom.llm.exchange import BLOCK_BITS, row_numbers
 from prefloom.session import scratch_path
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 PIECE = 1 << 16  # steps of the merge to a piece
 PAIRS_AT_ONCE = 2_000_000  # pairs of a broadcast: 17 bytes each
-PAIRS_HELD = 1 << 21  # distinct pairs that a counting task holds before it passes them on
+PAIRS_HELD = 1 << 19  # distinct pairs that a counting task holds before it passes them on
 
 # Fixed values of byte_bpe_50k.json: its word pattern, and the characters that stand for bytes in its
 # vocabulary: printable ones for themselves, the rest from 256 on.
@@ -48,30 +50,39 @@ class BytePairs:
     """A byte-level BPE tokenizer from its JSON file: ids of texts and the bytes of each id."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path, self.fast, self._whole = path, None, None
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            vocabulary, merges = itemgetter("vocab", "merges")(json.load(file)["model"])
         self.bytes = [b""] * self.whole.get_vocab_size(with_added_tokens=True)
-        for token, number in model["vocab"].items():
+        for token, number in vocabulary.items():
             self.bytes[number] = bytes(BYTE_OF[c] for c in token) if all(c in BYTE_OF for c in token) else token.encode()
-        self.fast = None
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        merged = [model["vocab"]["".join(m)] for m in merges]
-        singles = sorted(model["vocab"][c] for c in BYTE_OF)
-        if singles == list(range(256)) and merged == list(range(256, 256 + len(merged))):
-            # The ids are the ranks of the merges: another library does the same merges several times faster.
-            import tiktoken
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        singles = sorted(vocabulary[c] for c in BYTE_OF)
+        # Where the ids are the ranks of the merges, another library does the same merges several times faster.
+        self.ranked = 256 + len(merged) if singles + merged == list(range(256 + len(merged))) else 0
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "fast": None, "_whole": None}
+
+    @property
+    def whole(self):
+        """The tokenizer itself, which a worker loads when it first meets a text that needs it."""
+        if self._whole is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-            ranks = {self.bytes[i]: i for i in range(256 + len(merged))}
-            self.fast = tiktoken.Encoding("pairs", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True
+        return self._whole
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; none where they do not give its bytes."""
-        if self.fast is not None and COMMON.fullmatch(text):
+        if self.ranked and COMMON.fullmatch(text):
+            if self.fast is None:
+                import tiktoken
+
+                ranks = {self.bytes[i]: i for i in range(self.ranked)}
+                self.fast = tiktoken.Encoding("pairs", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         ids = self.whole.encode(text, add_special_tokens=False).ids
         same = b"".join([self.bytes[i] for i in ids]) == text.encode()
@@ -82,15 +93,23 @@ class Pieces:
     """A sentence-piece tokenizer: ids of texts, which get a leading space, and the bytes of each id."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.whole.get_piece_size()
-        names = self.whole.id_to_piece(list(range(size)))
+        self.path, self._whole = path, None
+        names = self.whole.id_to_piece(list(range(self.whole.get_piece_size())))
         self.bytes = [
             bytes([int(name[3:5], 16)]) if self.whole.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)
         ]
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_whole": None}
+
+    @property
+    def whole(self):
+        if self._whole is None:
+            import sentencepiece
+
+            self._whole = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return self._whole
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; none where they do not give the bytes of a space and the text."""
         out = []
@@ -100,16 +119,6 @@ class Pieces:
         return out
 
 
-_loaded: dict[tuple[type, str], object] = {}
-
-
-def tokenizer(kind: type, path: str):
-    """The tokenizer of a file, read once by each Python worker."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = kind(path)
-    return _loaded[kind, path]
-
-
 def piece_bounds(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Where the diagonals of the merge of ``a`` and ``b`` cut them, ``piece`` steps apart; of equal ends a's comes first."""
     diagonal = np.append(np.arange(0, len(a) + len(b), piece), len(a) + len(b))
@@ -189,18 +198,17 @@ class Slice:
         return np.searchsorted(self.pairs.link_a, self.first_a)
 
 
-def slices(batches: Iterable[pa.RecordBatch], path_a: str, path_b: str, slice_bytes: int, piece: int) -> Iterator[Slice]:
-    one, two = tokenizer(BytePairs, path_a), tokenizer(Pieces, path_b)
+def slices(batches: Iterable[pa.RecordBatch], tokenizers: tuple[BytePairs, Pieces], slice_bytes: int, piece: int) -> Iterator[Slice]:
+    one, two = tokenizers
     bytes_a, bytes_b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (one, two))
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= slice_bytes):
-                size, to = size + len(texts[to]), to + 1
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, slice_bytes + (upto[at - 1] if at else 0), side="right")))
+            texts = [t or "" for t in batch.column("text").slice(at, to - at).to_pylist()]
             tokens_a, tokens_b = [], []
-            for text, ids_b in zip(texts[at:to], two.encode(texts[at:to])):
+            for text, ids_b in zip(texts, two.encode(texts)):
                 ids_a = one.encode(" " + text) if text and len(ids_b) else ids_b[:0]
                 fits = len(ids_a) > 0 and int(bytes_a[ids_a].sum()) == int(bytes_b[ids_b].sum())
                 tokens_a.append(ids_a if fits else ids_a[:0])
@@ -254,9 +262,10 @@ def token_groups(
     """One row per group of each document: ``id_column``, group_no (from 0), start and end (bytes of a space and the
     text), a and b (ids). Documents without tokens (see ``alignment``) give no rows."""
     docs, kind = _named(df, id_column, text_column)
+    shared = df.sparkSession.sparkContext.broadcast((BytePairs(path_a), Pieces(path_b)))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in slices(batches, path_a, path_b, slice_bytes, piece):
+        for own in slices(batches, shared.value, slice_bytes, piece):
             link_a, link_b = own.pairs.link_a, own.pairs.link_b
             if not len(link_a):
                 continue
@@ -298,14 +307,16 @@ def alignment(
     """
     spark = df.sparkSession
     docs, kind = _named(df, id_column, text_column)
-    size_a, size_b = (len(tokenizer(k, p).bytes) for k, p in ((BytePairs, path_a), (Pieces, path_b)))
+    both = BytePairs(path_a), Pieces(path_b)
+    size_a, size_b = (len(t.bytes) for t in both)
+    shared = spark.sparkContext.broadcast(both)
     key_type = np.uint32 if size_a * size_b <= 1 << 32 else np.uint64
     counts = ["n_a", "n_b", "n_groups"]
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _cells(size_a, b",|"), _cells(size_b, b",;\0")
         number = TaskContext.get().partitionId() << BLOCK_BITS
-        for own in slices(batches, path_a, path_b, slice_bytes, piece):
+        for own in slices(batches, shared.value, slice_bytes, piece):
             keys = own.ids_a[own.pairs.link_a] * size_b + own.ids_b[own.pairs.link_b]
             whole = pa.array([0, own.rows.num_rows], pa.int32())
             each = [np.diff(x) for x in (own.first_a, own.first_b, own.first_group)]
