@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from prefloom.llm import exchange
 from prefloom.llm.text import LOWER, Spans, Words, blocks, mixed, words
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 2 << 20

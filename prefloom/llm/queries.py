@@ -322,25 +322,35 @@ WITH doc AS (
   SELECT row_number() OVER () AS rid, doc_id,
     coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
   FROM documents
-), word AS (SELECT rid, i, w[i] AS w, w[i - 1] AS v FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM doc)
+), word AS (SELECT rid, i, w[i] AS w, w[i - 1] AS v, w[i - 2] AS u FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM doc)
 ), uni AS (SELECT w, count(*) AS n FROM word GROUP BY w
 ), uni_own AS (SELECT rid, w, count(*) AS n FROM word GROUP BY rid, w
 ), bi AS (SELECT v, w, count(*) AS n FROM word WHERE i > 1 GROUP BY v, w
 ), bi_own AS (SELECT rid, v, w, count(*) AS n FROM word WHERE i > 1 GROUP BY rid, v, w
+), tri AS (SELECT u, v, w, count(*) AS n FROM word WHERE i > 2 GROUP BY u, v, w
+), tri_own AS (SELECT rid, u, v, w, count(*) AS n FROM word WHERE i > 2 GROUP BY rid, u, v, w
 ), n AS (SELECT count(*) AS n FROM word
 ), c AS (
-  SELECT word.rid, word.i, n.n - len(doc.w) AS outside, u.n - uo.n AS uni, coalesce(b.n - bo.n, 0) AS bi, coalesce(cu.n - co.n, 0) AS ctx
+  SELECT word.rid, word.i, least(word.i - 1, 2) AS longest, n.n - len(doc.w) AS outside, u.n - uo.n AS uni,
+    coalesce(b.n - bo.n, 0) AS bi, coalesce(t.n - tt.n, 0) AS tri, coalesce(cu.n - co.n, 0) AS before_one, coalesce(cb.n - cbo.n, 0) AS before_two
   FROM word JOIN n ON TRUE JOIN doc ON doc.rid = word.rid JOIN uni u ON u.w = word.w
   JOIN uni_own uo ON uo.rid = word.rid AND uo.w = word.w
   LEFT JOIN bi b ON word.i > 1 AND b.v = word.v AND b.w = word.w
   LEFT JOIN bi_own bo ON word.i > 1 AND bo.rid = word.rid AND bo.v = word.v AND bo.w = word.w
+  LEFT JOIN tri t ON word.i > 2 AND t.u = word.u AND t.v = word.v AND t.w = word.w
+  LEFT JOIN tri_own tt ON word.i > 2 AND tt.rid = word.rid AND tt.u = word.u AND tt.v = word.v AND tt.w = word.w
   LEFT JOIN uni cu ON word.i > 1 AND cu.w = word.v
   LEFT JOIN uni_own co ON word.i > 1 AND co.rid = word.rid AND co.w = word.v
+  LEFT JOIN bi cb ON word.i > 2 AND cb.v = word.u AND cb.w = word.v
+  LEFT JOIN bi_own cbo ON word.i > 2 AND cbo.rid = word.rid AND cbo.v = word.u AND cbo.w = word.v
+), v AS (
+  SELECT *, CASE WHEN tri > 0 THEN 2 WHEN bi > 0 THEN 1 ELSE 0 END AS used,
+    CASE WHEN tri > 0 THEN tri / before_two WHEN bi > 0 THEN bi / before_one
+      WHEN uni > 0 THEN uni / greatest(outside, 1) ELSE 1 / (outside + 1) END AS value FROM c
 ), s AS (
-  SELECT rid, count(*) FILTER (bi > 0 OR i = 1 AND uni > 0) AS n_hits, count(*) FILTER (bi = 0 AND uni = 0) AS n_unseen,
-    CAST(sum(CAST(round((ln(CASE WHEN bi > 0 THEN bi / ctx WHEN uni > 0 THEN uni / greatest(outside, 1) ELSE 1 / (outside + 1) END)
-      + CASE WHEN i > 1 AND bi = 0 THEN ln(0.4) ELSE 0 END) * 1000000) AS BIGINT)) AS BIGINT) AS log_score
-  FROM c GROUP BY rid
+  SELECT rid, count(*) FILTER (used = longest AND (used > 0 OR uni > 0)) AS n_hits, count(*) FILTER (used = 0 AND uni = 0) AS n_unseen,
+    CAST(sum(CAST(round((ln(value) + (longest - used) * ln(0.4)) * 1000000) AS BIGINT)) AS BIGINT) AS log_score
+  FROM v GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hits, 0) AS n_hits, coalesce(n_unseen, 0) AS n_unseen, coalesce(log_score, 0) AS log_score
 FROM doc LEFT JOIN s USING (rid)

@@ -90,7 +90,7 @@ def test_packing(spark):
 
 def test_scores_of_copies_and_strangers(spark):
     rows = [None, "", "a b c", "A b c", "x y", "a q"]
-    got = {r.doc_id: r for r in score(brute.frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in score(brute.frame(spark, rows), order=2).collect()}
     assert (got[1].n_words, got[1].log_score, got[2].log_score) == (0, 0, 0)
     # Elsewhere a occurs twice among the seven words of the others, b follows one of the two, c follows b.
     log = lambda x: round(np.log(x) * 1_000_000)
