@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from prefloom.llm import exchange
 from prefloom.llm.substring_removal import Repeats, removed_symbols
@@ -126,8 +127,11 @@ def remove_seen(
 
     A word goes if a window of ``length`` words that covers it also starts in a text with a smaller id.
     A NULL id is smaller than all others; rows with equal ids do not remove each other's words. A NULL text
-    has no words; other columns are ignored; an empty table gives no rows.
+    has no words; other columns are ignored; an empty table gives no rows. Ids are whole numbers of at most 64
+    bits; other types raise TypeError before anything runs (number such rows in the order of their ids first).
     """
+    if not isinstance(df.schema[id_column].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_column} is {df.schema[id_column].dataType.simpleString()}; smaller and greater ids need whole numbers")
     gram = min(GRAM, length)
     stored = exchange.write_blocks(df, id_column, text_column)
     job = Repeats(
