@@ -8,46 +8,56 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.llm.benchmark_decontamination import contaminated, decontaminate
 from prefloom.llm.best_fit_packing import pack
 from prefloom.llm.jaccard_join import jaccard_classes
-from prefloom.llm.quality_rules import judge, sketches, with_metrics
+from prefloom.llm.quality_rules import COUNTS, FENCES, judge, sketches, with_metrics
 from prefloom.llm.queries import table, tokenizer_path
 from prefloom.llm.secret_scans import redact, scan
+from prefloom.llm.text import unused
 from prefloom.session import cut_lineage, drop_scratch, scratch_made, scratch_path
 
 
+def _apart(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns named like ``results`` renamed, and the columns that give them their names back."""
+    names = {c: unused((*docs.columns, *results), c)[0] if c.lower() in results else c for c in docs.columns}
+    return docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
-    metrics = with_metrics(docs)
-    return judge(metrics, sketches(metrics)).where("kept").select(docs.columns)
+    own, back = _apart(docs, (*COUNTS, *FENCES, "base_failed", "rows_behind", "kept"))
+    metrics = with_metrics(own)
+    return judge(metrics, sketches(metrics)).where("kept").select(back)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id (NULL last); texts without words all stay."""
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    classes = cut_lineage(jaccard_classes(numbered, id_column="_row")).where("n_shingles > 0")
-    known = classes.join(numbered.select("_row", "doc_id"), "_row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = known.groupBy("component_id").agg(F.min_by("_row", order).alias("_first"))
-    copies = known.join(first, "component_id").where("_row != _first").select("_row")
-    return numbered.join(copies, "_row", "left_anti").select(docs.columns)
+    row, first = unused(docs.columns, "row", "first")
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = cut_lineage(jaccard_classes(numbered, id_column=row)).where("n_shingles > 0")
+    known = classes.join(numbered.select(row, "doc_id"), row)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = known.groupBy("component_id").agg(F.min_by(row, order).alias(first))
+    copies = known.join(kept, "component_id").where(F.col(row) != F.col(first)).select(row)
+    return numbered.join(copies, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~contaminated()).select(docs.columns)
+    own, back = _apart(docs, ("n_words", "n_hit", "items", "spans"))
+    judged = decontaminate(own, table(spark, sf_dir, "benchmark"))
+    return judged.where(~contaminated()).select(back)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; what the forest calls a secret is replaced by a mark, and n_chars follows the text."""
     clean = redact(docs, scan(docs, table(spark, sf_dir, "labels")))
     changed = F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")).alias("n_chars")
-    return clean.select(*[changed if c == "n_chars" else F.col(c) for c in docs.columns])
+    return clean.select(*[changed if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
