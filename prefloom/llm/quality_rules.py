@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefloom.llm.text import unused
 from prefloom.session import cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -62,7 +63,7 @@ def _repeat_words(ordered: Column) -> Column:
 
 
 def with_metrics(df: DataFrame, text_column: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with the counts, the ratios of FENCES and base_failed; same-named columns are replaced.
+    """``df`` with the counts, the ratios of FENCES and base_failed; same-named columns are replaced, others stay.
 
     A NULL text counts as empty: no words, so it fails the base rule. Ratios of nothing are 0. The rows are
     written to the shared folder once: a filter on a metric would else be pushed below the columns that it is
@@ -73,49 +74,53 @@ def with_metrics(df: DataFrame, text_column: str = "text", keep_text: bool = Tru
 
 def _measured(df: DataFrame, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    added = ["_words", "_lines", "_n", "_hashes", "_ordered", *COUNTS, *FENCES, "base_failed"]
-    out = df.drop(*added).withColumns(
+    added = [*COUNTS, *FENCES, "base_failed"]
+    names = unused((*df.columns, *added), "words", "lines", "size", "hashes", "ordered", "stutter", "line_count", "text")
+    words, lines, n, hashes, ordered = (F.col(c) for c in names[:5])
+    stutter, line_count, kept_text = names[5:]
+    out = df.withColumns(
         {
-            "_words": F.array_remove(F.split(text, BLANKS), ""),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            kept_text: text,
+            names[0]: F.array_remove(F.split(text, BLANKS), ""),
+            names[1]: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         }
     )
-    out = out.withColumn("_n", F.size("_words"))
-    words, lines, n = F.col("_words"), F.col("_lines"), F.col("_n")
+    out = out.drop(*(c for c in df.columns if c.lower() in added)).withColumn(names[2], F.size(words))
+    text = F.col(kept_text)
     # Most texts have no two equal window hashes; the windows themselves are compared in those that have.
     hashed = _windows(F.transform(words, lambda x: F.xxhash64(x)), n, lambda a, b: F.xxhash64(a, b))
-    out = out.withColumn("_hashes", F.when(n > WINDOW, hashed).otherwise(F.array().cast("array<bigint>")))
-    repeated = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    out = out.withColumn(names[3], F.when(n > WINDOW, hashed).otherwise(F.array().cast("array<bigint>")))
+    repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
     joined = _windows(words, n, lambda a, b: F.concat_ws(" ", a, b))
-    ordered = F.array_sort(F.transform(joined, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
-    out = out.withColumn("_ordered", F.when(repeated, ordered)).drop("_hashes")
-    stutter = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: a == b), lambda x: x))
+    in_order = F.array_sort(F.transform(joined, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    out = out.withColumn(names[4], F.when(repeated, in_order)).drop(names[3])
+    stutters = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: a == b), lambda x: x))
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": F.coalesce(_repeat_words(F.col("_ordered")), F.lit(0)).cast("long"),
-            "_stutter": stutter.cast("long"),
-            "_line_count": F.size(lines).cast("long"),
+            "n_repeat_words": F.coalesce(_repeat_words(ordered), F.lit(0)).cast("long"),
+            stutter: stutters.cast("long"),
+            line_count: F.size(lines).cast("long"),
         }
-    ).drop("_words", "_lines", "_n", "_ordered")
+    ).drop(names[0], names[1], names[2], names[4], kept_text)
 
     def ratio(part: str, whole: str, scale: int) -> Column:
-        return F.when(F.col(whole) > 0, F.expr(f"{scale} * {part} div {whole}")).otherwise(F.lit(0).cast("long"))
+        return F.when(F.col(whole) > 0, F.expr(f"{scale} * `{part}` div `{whole}`")).otherwise(F.lit(0).cast("long"))
 
     mean_length = ratio("word_chars", "n_words", 1000)
     return out.withColumns(
         {
             "symbol_ratio": ratio("n_symbols", "word_chars", 10000),
-            "stutter_ratio": ratio("_stutter", "n_words", 10000),
-            "dup_line_ratio": ratio("n_dup_lines", "_line_count", 10000),
+            "stutter_ratio": ratio(stutter, "n_words", 10000),
+            "dup_line_ratio": ratio("n_dup_lines", line_count, 10000),
             "long_words": mean_length,
             "short_words": mean_length,
             "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         }
-    ).drop("_stutter", "_line_count")
+    ).drop(stutter, line_count)
 
 
 def sketches(metrics: DataFrame, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -159,7 +164,7 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge(metrics: DataFrame, sketch: DataFrame, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """``metrics`` with rows_behind (of the sketch used) and kept. A NULL language or source is a group
+    """``metrics`` with rows_behind (of the sketch used) and kept, which replace columns of these names. A NULL language or source is a group
     like any other; a text whose group has no sketch (all its texts fail the base rule) is not kept anyway.
     """
     sketch = cut_lineage(sketch)
@@ -173,15 +178,19 @@ def judge(metrics: DataFrame, sketch: DataFrame, group: tuple[str, str] = ("lang
     table = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
     large, lang_large = F.col("rows") >= LEAST_ROWS, F.col("l_rows") >= LEAST_ROWS
     chosen = [F.when(large, F.col(x)).when(lang_large, F.col(f"l_{x}")).otherwise(F.lit(everything[x] if everything else None)).alias(x) for x in names]
+    replaced = ("rows_behind", "kept")
+    lang, source, found = unused((*metrics.columns, *replaced), "lang", "source", "found")
     table = cut_lineage(
-        table.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("rows").alias("rows_behind"), *chosen)
+        table.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(F.col("rows").alias("rows_behind"), *chosen).alias(found))
     )
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    same = F.col(group[0]).cast("string").eqNullSafe(F.col("_lang")) & F.col(group[1]).cast("string").eqNullSafe(F.col("_source"))
+    same = F.col(group[0]).cast("string").eqNullSafe(F.col(lang)) & F.col(group[1]).cast("string").eqNullSafe(F.col(source))
     inside = [
-        F.col(m) <= F.col(f"fence_{m}") if side == "above" else F.col(m) >= F.col(f"fence_{m}")
+        F.col(m) <= F.col(f"{found}.fence_{m}") if side == "above" else F.col(m) >= F.col(f"{found}.fence_{m}")
         for m, (side, _) in FENCES.items()
     ]
     kept = ~F.col("base_failed") & F.coalesce(reduce(Column.__and__, inside), F.lit(False))
-    return metrics.drop("rows_behind", "kept", *names).join(table, same, "left").withColumn("kept", kept).drop("_lang", "_source")
+    others = [F.col(f"`{c}`") for c in metrics.columns if c.lower() not in replaced]
+    judged = metrics.join(table, same, "left")
+    return judged.select(*others, F.col(f"{found}.rows_behind").alias("rows_behind"), kept.alias("kept"))

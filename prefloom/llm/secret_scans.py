@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.llm.text import unused
 from prefloom.session import cut_lineage
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -235,19 +236,19 @@ def scan(
 
 
 def redact(df: DataFrame, judged: DataFrame, id_column: str = "doc_id", text_column: str = "text", mark: str = "<secret>") -> DataFrame:
-    """``df`` with every secret in its text replaced by ``mark``; rows and other columns stay."""
+    """``df`` with every secret in its text replaced by ``mark``; rows and other columns stay, whatever their names."""
+    own_id, key, found = unused(df.columns, "id", "key", "spans")
     spans = judged.where("is_secret").select(
-        F.col(id_column).alias("_id"), F.col("text_key").alias("_key"), F.struct("start", "end").alias("span")
+        F.col(id_column).alias(own_id), F.col("text_key").alias(key), F.struct("start", "end").alias("span")
     )
-    spans = cut_lineage(spans.groupBy("_id", "_key").agg(F.array_sort(F.collect_set("span")).alias("_spans")))
+    spans = cut_lineage(spans.groupBy(own_id, key).agg(F.array_sort(F.collect_set("span")).alias(found)))
     if spans.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         spans = F.broadcast(spans)  # else texts and spans are joined by shuffle
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (text_key(text_column) == F.col("_key"))
+    same = F.col(id_column).eqNullSafe(F.col(own_id)) & (text_key(text_column) == F.col(key))
     joined = df.join(spans, same, "left")
-    text, spans = F.col(text_column), F.col("_spans")
+    text, spans = F.col(text_column), F.col(found)
     ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     parts = F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a))
-    return joined.withColumn(text_column, F.when(spans.isNull(), text).otherwise(F.array_join(parts, mark))).drop(
-        "_id", "_key", "_spans"
-    )
+    clean = F.when(spans.isNull(), text).otherwise(F.array_join(parts, mark))
+    return joined.withColumn(text_column, clean).drop(own_id, key, found)

@@ -123,3 +123,15 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it unlike all ``taken`` ones, whatever their case."""
+    known = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out

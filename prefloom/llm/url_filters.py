@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefloom.llm.text import unused
+
 RULE_SCHEMA = "rule string, action string, host string, path string, pattern string, tokens array<string>"
 BROADCAST_RULES = 50_000
 
@@ -108,7 +110,7 @@ def filter_urls(
     as ``rule``. Where none fits, ``rule`` is NULL and the verdict is "block" if any pattern rule that
     blocks fits and none that allows does, else ``default``; ``patterns`` names those that fit. A NULL URL
     has empty host and path and gets the default. The verdict depends on the URL alone, so repeated rows
-    get equal ones. Columns of ``df`` named like an added one are replaced.
+    get equal ones. Columns of ``df`` named like an added one are replaced; all others stay, whatever their names.
     """
     # One row per distinct URL: repeated URLs are merged before the shuffle, and a very frequent one is
     # split again by adaptive execution when the verdicts are joined back.
@@ -132,13 +134,18 @@ def filter_urls(
         F.min(F.when(~own, F.col("action"))).alias("by_pattern"),  # allow sorts before block
     )
     host, path = host_and_path(F.col(url_column))
-    kept = df.drop("host", "path", "rule", "verdict", "patterns", "_key").withColumn("_key", F.col(url_column).cast("string"))
-    joined = kept.join(verdicts, kept["_key"] == verdicts["_url"], "left")
-    added = {
-        "host": host,
-        "path": path,
-        "rule": F.col("best.rule"),
-        "verdict": F.coalesce("best.action", "by_pattern", F.lit(default)),
-        "patterns": F.coalesce("patterns", F.array().cast("array<string>")),
-    }
-    return joined.withColumns(added).drop("_key", "_url", "best", "by_pattern")
+    added = ("host", "path", "rule", "verdict", "patterns")
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in added]
+    key, parts, url, found = unused((*df.columns, *added), "key", "parts", "url", "found")
+    parsed = df.select(
+        *others, F.col(url_column).cast("string").alias(key), F.struct(host.alias("host"), path.alias("path")).alias(parts)
+    )
+    verdicts = verdicts.select(F.col("_url").alias(url), F.struct("best", "by_pattern", "patterns").alias(found))
+    return parsed.join(verdicts, F.col(key) == F.col(url), "left").select(
+        *others,
+        F.col(f"{parts}.host").alias("host"),
+        F.col(f"{parts}.path").alias("path"),
+        F.col(f"{found}.best.rule").alias("rule"),
+        F.coalesce(f"{found}.best.action", f"{found}.by_pattern", F.lit(default)).alias("verdict"),
+        F.coalesce(f"{found}.patterns", F.array().cast("array<string>")).alias("patterns"),
+    )
