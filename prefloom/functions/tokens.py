@@ -202,5 +202,3 @@ class CallableTokenizer:
         field = F.coalesce(fields[cut_field].cast("string"), F.lit(null_text))
         return run(before.render(fields, null_text), field, after.render(fields, null_text))
 
-
-Tokenizer = WordTokenizer | CallableTokenizer

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.text import format_response
-from prefloom.functions.tokens import Tokenizer
+from prefloom.functions.subwords import Tokenizer
 from prefloom.schemas import NEWS_BATCHES
 
 # How the source's split names map to data set splits.

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from prefloom.functions.sequences import fix_width, mask_pad_labels, mask_query_labels, pad
 from prefloom.functions.text import format_response, join_query_response, lstrip, strip
-from prefloom.functions.tokens import WORD_BLANKS, CallableTokenizer, Tokenizer, WordTokenizer
+from prefloom.functions.subwords import SubwordTokenizer, Tokenizer
+from prefloom.functions.tokens import WORD_BLANKS, WordTokenizer
 from prefloom.operators.records import exclude_batches, pick_chosen_rejected, route_split
 from prefloom.schemas import PairParams, PromptParams, SftParams
 
@@ -22,14 +23,23 @@ def with_query(
 ) -> DataFrame:
     """Add the cut prompt, its ids before padding (``_query_ids``) and its decoded text
     (``query``). All three are NULL where even an empty cut field is over the budget."""
-    prompt = tokenizer.fit_prompt(
-        params.template, fields, params.budget, params.cut_field, params.cut_text, params.null_text
-    )
-    return (
-        df.withColumn("_prompt", prompt)
-        .withColumn("_query_ids", tokenizer.encode(F.col("_prompt")))
-        .withColumn("query", lstrip(tokenizer.drop_specials(F.col("_prompt"))))
-    )
+    cut = (params.template, fields, params.budget, params.cut_field, params.cut_text, params.null_text)
+    if isinstance(tokenizer, SubwordTokenizer):  # cutting a prompt leaves its ids at hand
+        fitted = df.withColumn("_fitted", tokenizer.fit_prompt_ids(*cut))
+        staged = fitted.withColumns({"_prompt": F.col("_fitted.prompt"), "_query_ids": F.col("_fitted.ids")})
+    else:
+        staged = df.withColumn("_prompt", tokenizer.fit_prompt(*cut))
+        staged = staged.withColumn("_query_ids", tokenizer.encode(F.col("_prompt")))
+    return staged.withColumn("query", lstrip(tokenizer.drop_specials(F.col("_prompt"))))
+
+
+def with_response_ids(df: DataFrame, width: int, tokenizer: Tokenizer) -> DataFrame:
+    """Add the first ids of ``response`` and its token count; a tokenizer that runs in Python sees it once."""
+    response = F.col("response")
+    if isinstance(tokenizer, WordTokenizer):
+        return df.withColumns({"_response_ids": tokenizer.encode(response, width), "response_token_length": tokenizer.count(response)})
+    staged = df.withColumn("_all_ids", tokenizer.encode(response))
+    return staged.withColumns({"_response_ids": F.slice("_all_ids", 1, width), "response_token_length": F.array_size("_all_ids")})
 
 
 def query_columns(params: PromptParams, tokenizer: Tokenizer) -> dict[str, Column]:
@@ -49,7 +59,7 @@ def joint_ids(response: str, response_ids: str, params: SftParams | PairParams,
     ids at hand are then enough. Otherwise the joined text is encoded.
     """
     joined = tokenizer.encode(join_query_response(F.col("query"), F.col(response)), params.total_width)
-    if isinstance(tokenizer, CallableTokenizer):
+    if not isinstance(tokenizer, WordTokenizer):
         return joined
     same_words = F.btrim(F.col("_prompt"), F.lit(WORD_BLANKS)) == strip(F.col("query"))
     separate = F.col(response).rlike(r"^\s") & same_words
@@ -76,8 +86,7 @@ def build_sft_examples(
     fields = {name: F.col(name) for name in ("subreddit", "title", "post")}
     response = format_response(F.col("summary"), leading_blank=True, eos_text=tokenizer.eos_text, null_text=params.null_text)
     staged = with_query(posts, fields, params, tokenizer).withColumn("response", response)
-    staged = staged.withColumn("_response_ids", tokenizer.encode(F.col("response"), params.total_width))
-    staged = staged.withColumn("response_token_length", tokenizer.count(F.col("response")))
+    staged = with_response_ids(staged, params.total_width, tokenizer)
     staged = staged.withColumn("_ids", joint_ids("response", "_response_ids", params, tokenizer))
     staged = staged.withColumn("query_and_response_tokens", fix_width(F.col("_ids"), params.total_width, tokenizer.pad_id))
     labels = mask_query_labels(F.col("query_and_response_tokens"), F.size("_query_ids"))
