@@ -311,9 +311,9 @@ def assemble_splits_query(spark, d):
 
 @query(
     "project_for",
-    with_views(f" SELECT id, {sql_joined('tokens')} AS query_tokens FROM (SELECT id, {v.sql_ids('title')} AS tokens FROM v_posts)", "v_posts"),
+    with_views(f" SELECT id, {sql_joined('tokens')} AS query_tokens FROM (SELECT id, {v.sql_ids('post')} AS tokens FROM v_posts)", "v_posts"),
 )
 def project_for_query(spark, d):
-    rows = v.posts(spark, d).withColumn("query_tokens", TOKENIZER.encode(F.col("title")))
+    rows = v.posts(spark, d).withColumn("query_tokens", TOKENIZER.encode(F.col("post")))
     needed = rec.project_for(rows, "rollout", keys=["id"])
     return needed.withColumn("query_tokens", joined("query_tokens"))

@@ -37,14 +37,13 @@ def joined(values: Column | str) -> Column:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opening = F.regexp_extract("text", r"^(\s*+(?:\S++\s*+){0,12}+)", 1)
-    summary = F.array_join(F.regexp_extract_all(opening, F.lit(r"(\S+)"), 1), " ")
+    """Documents as posts; the summary is a text's last line, so short and over-long responses both occur."""
     return spread_small(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("subreddit"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("post"),
-        summary.alias("summary"),
+        F.substring_index("text", "\n", -1).alias("summary"),
     )
 
 
@@ -270,7 +269,7 @@ def sql_fitted(source: str, keep: str, budget: int = 512) -> str:
 SQL_VIEWS = {
     "v_posts": rf"""v_posts AS (
         SELECT doc_id AS id, source AS subreddit, string_split(text, {NL})[1] AS title, text AS post,
-               array_to_string(regexp_extract_all(text, '\S+')[1:12], ' ') AS summary
+               string_split(text, {NL})[-1] AS summary
         FROM documents)""",
     "v_comparisons": """v_comparisons AS (
         SELECT r.conv_id, r.turn, r.conv_id::VARCHAR AS id, o.post, NULL::VARCHAR AS title, 'conv' AS subreddit,
