@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from prefloom.catalog import views as v
+from prefloom.catalog.order_queries import GROUPED
 from prefloom.catalog.record_queries import _PICKED, ROUTED, comparison_files
 from prefloom.catalog.registry import query
 from prefloom.catalog.views import TOKENIZER, joined, rounded, sql_fill, sql_fix_width, sql_ids, sql_joined, sql_round, with_views
@@ -17,9 +18,10 @@ from prefloom.plans.examples import build_preference_pairs, build_sft_examples,
 from prefloom.plans.rollouts import audit_rollouts
 from prefloom.plans.scoring import score_and_centre
 from prefloom.session import scratch_path
-from prefloom.sources.feedback import read_comparisons
+from prefloom.sources.feedback import good_records, read_checked, read_comparisons, set_aside
 from prefloom.sources.tables import spread_small
 from prefloom.streaming import jobs as st
+from prefloom.streaming.groups import complete_groups
 
 
 def stand_ins():
@@ -227,3 +229,61 @@ def stream_comparisons_query(spark, d):
     flat = stream.select("info.id", "worker", "split", "chosen", "rejected")
     st.append_stream(flat, target, f"{target}-checkpoint").awaitTermination()
     return spark.read.schema(flat.schema).parquet(target)
+
+
+@query("stream_group_advantage", with_views(f", g AS ({GROUPED}) SELECT event_id, 'complete' AS status, {sql_round('advantage')} AS advantage FROM g", "v_rollouts"))
+def stream_group_advantage_query(spark, d):
+    source, target = scratch_path(spark, "stream-in"), scratch_path(spark, "groups")
+    rows = v.rollouts(spark, d).select("event_id", "prompt_id", "score")
+    rows.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    done = complete_groups(stream, "prompt_id", "event_id", "score", 8)
+    st.append_stream(done, target, f"{target}-checkpoint", by=("status",)).awaitTermination()
+    return spark.read.schema(done.schema).parquet(target).select("event_id", "status", rounded("advantage").alias("advantage"))
+
+
+# Broken lines made of document ids, and what is wrong with them.
+BROKEN = (
+    ('{"choice": 1, "batch": "b', '"', "not JSON"),
+    ('["', '"]', "not an object"),
+    ('{"choice": "first", "batch": "b', '"}', "does not fit: choice"),
+    ('{"summaries": [{"text": "a"}, {"text": "b"}], "worker": "w', '"}', "no choice"),
+    ('{"choice": 1, "summaries": [{"text": "a"}], "worker": "w', '"}', "fewer than two summaries"),
+    ('{"choice": 2, "summaries": [{"text": "a"}, {"text": "b"}], "worker": "w', '"}', "no such summary"),
+)
+_BROKEN_SQL = " ".join(f"WHEN {i} THEN '{a}' || doc_id || '{b}'" for i, (a, b, _) in enumerate(BROKEN))
+_REASON_SQL = " ".join(f"WHEN {i} THEN '{r}'" for i, (_, _, r) in enumerate(BROKEN))
+
+
+def _with_broken_lines(spark, d) -> str:
+    """The comparison records as lines, with a broken one for each document."""
+    path = comparison_files(spark, d)
+    which = F.col("doc_id") % len(BROKEN)
+    line = F.lit(None).cast("string")
+    for i, (before, after, _) in enumerate(BROKEN):
+        line = F.when(which == i, F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after))).otherwise(line)
+    v.table(spark, d, "documents").select(line.alias("value")).write.mode("append").text(path)
+    return path
+
+
+CHECKED = with_views(
+    f" SELECT id AS line, 'good' AS reason FROM v_comparisons UNION ALL "
+    f"SELECT CASE doc_id % {len(BROKEN)} {_BROKEN_SQL} END, CASE doc_id % {len(BROKEN)} {_REASON_SQL} END FROM documents",
+    "v_comparisons",
+)
+
+
+@query("read_checked", CHECKED)
+def read_checked_query(spark, d):
+    checked = read_checked(spark, "comparisons", _with_broken_lines(spark, d))
+    good = good_records(checked).select(F.col("info.id").alias("line"), F.lit("good").alias("reason"))
+    return good.unionByName(set_aside(checked))
+
+
+@query("stream_checked", CHECKED)
+def stream_checked_query(spark, d):
+    target, aside = scratch_path(spark, "good"), scratch_path(spark, "aside")
+    checked = st.stream_checked(spark, "comparisons", _with_broken_lines(spark, d), files_per_trigger=4)
+    st.append_checked(checked, target, aside, f"{target}-checkpoint").awaitTermination()
+    good = spark.read.parquet(target).select(F.col("info.id").alias("line"), F.lit("good").alias("reason"))
+    return good.unionByName(spark.read.parquet(aside).select("line", "reason"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ COMPARISON_FILES = (
 )
 AXIS_FILES = ("cnndm1.json", "cnndm3.json", "cnndm4.json", "tldraxis1.json", "tldraxis2.json")
 
+CORRUPT = "_broken"
+
 
 @dataclass(frozen=True)
 class FeedbackKind:
@@ -45,16 +47,74 @@ def published_paths(kind: str, root: str) -> list[str]:
     return [f"{root.rstrip('/')}/{entry.folder}/{name}" for name in entry.files]
 
 
-def read_feedback(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
-    """Records of a kind from files or folders. Keys absent from a record read as NULL; blank lines are
+def _filled(lines: DataFrame) -> DataFrame:
+    return lines.where(F.length(F.btrim("value")) > 0)
+
+
+def parsed_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """The records of text lines (``value``), batch or stream. Keys absent from a record read as NULL; blank lines are
     skipped; any other line that does not fit the schema fails the query, whichever columns it reads."""
     schema = feedback_kind(kind).schema
-    lines = spark.read.text(paths).where(F.length(F.btrim("value")) > 0)
     # The filter needs the whole record, so no column is pruned before it was checked.
-    records = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"))
+    records = _filled(lines).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"))
     return records.where(F.col("record").isNotNull()).select("record.*")
 
 
+def read_feedback(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
+    """Records of a kind from files or folders, as ``parsed_lines`` has them."""
+    return parsed_lines(spark.read.text(paths), kind)
+
+
+def checked_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """Rows (line, record, reason) of all lines but blank ones, batch or stream: a record, or the reason why there is none.
+
+    Reasons: "not JSON", "not an object", "does not fit: " with the top-level fields of another type (without
+    names where the misfit lies deeper), and for comparisons "no choice", "no such summary" (the choice names none)
+    and "fewer than two summaries". One projection: nothing is read twice and nothing is lost.
+    """
+    schema = feedback_kind(kind).schema
+    broken = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = _filled(lines).select(
+        F.col("value").alias("line"), F.from_json("value", broken, how).alias("r"), F.try_parse_json("value").alias("v")
+    )
+
+    def misfit(name: str) -> Column:
+        stated = F.try_variant_get("v", f"$.{name}", "string").isNotNull()
+        return F.when(stated & F.col(f"r.{name}").isNull(), F.lit(name))
+
+    names = F.array_compact(F.array(*[misfit(f.name) for f in schema.fields]))
+    where = F.when(F.size(names) > 0, F.concat(F.lit(": "), F.array_join(names, ", "))).otherwise(F.lit(""))
+    reason = (
+        F.when(F.col("v").isNull(), "not JSON")
+        .when(~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), "not an object")
+        .when(F.col(f"r.{CORRUPT}").isNotNull(), F.concat(F.lit("does not fit"), where))
+    )
+    if kind == "comparisons":
+        reason = (
+            reason.when(F.col("r.choice").isNull(), "no choice")
+            .when(F.coalesce(F.size("r.summaries"), F.lit(0)) < 2, "fewer than two summaries")
+            .when((F.col("r.choice") < 0) | (F.col("r.choice") >= F.size("r.summaries")), "no such summary")
+        )
+    record = F.struct(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+    judged = rows.select("line", record.alias("record"), reason.alias("reason"))
+    return judged.withColumn("record", F.when(F.col("reason").isNull(), F.col("record")))
+
+
+def read_checked(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
+    """All lines of files or folders with their records or reasons."""
+    return checked_lines(spark.read.text(paths), kind)
+
+
+def good_records(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("reason").isNull()).select("record.*")
+
+
+def set_aside(checked: DataFrame) -> DataFrame:
+    """Rows (line, reason) to be looked at by someone."""
+    return checked.where(F.col("reason").isNotNull()).select("line", "reason")
+
+
 def read_comparisons(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_feedback(spark, "comparisons", paths)
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from prefloom.schemas import SftParams
 from prefloom.session import cut_lineage, scratch_path, shared_dir
+from prefloom.sources import feedback
 from prefloom.sources import tables as tb
+from test_records import record
 
 
 def splits(spark):
@@ -64,3 +66,25 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/prefloom-x-")
     cut = cut_lineage(spark.range(4))
     assert cut.count() == 4 and "FileScan" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_records_or_have_a_reason(spark, tmp_path):
+    good = record()
+    bad = {
+        "not JSON": "{",
+        "not an object": "[1]",
+        "does not fit: info, choice": json.dumps({**good, "choice": "x", "info": 5}),
+        "does not fit": json.dumps({**good, "extra": {"confidence": "high"}}),
+        "no choice": json.dumps({**good, "choice": None}),
+        "fewer than two summaries": json.dumps({**good, "summaries": good["summaries"][:1]}),
+        "no such summary": json.dumps({**good, "choice": 2}),
+    }
+    path = tmp_path / "lines.json"
+    path.write_text("\n".join([json.dumps(good), "", "  ", *bad.values(), json.dumps(good)]) + "\n")
+    checked = feedback.read_checked(spark, "comparisons", str(path))
+    assert {r.reason: r.line for r in feedback.set_aside(checked).collect()} == bad
+    rows = feedback.good_records(checked)
+    assert rows.collect() == feedback.read_comparisons(spark, str(path)).limit(0).union(rows).collect() and rows.count() == 2
+    assert rows.schema == feedback.KINDS["comparisons"].schema and checked.count() == 2 + len(bad)
+    axis = feedback.read_checked(spark, "axis", str(path))
+    assert axis.where("reason IS NULL").count() + feedback.set_aside(axis).count() == axis.count()
