@@ -15,8 +15,10 @@ from prefloom.catalog.registry import query
 from prefloom.catalog.views import TOKENIZER, joined, rounded, sql_fill, sql_fix_width, sql_ids, sql_joined, sql_round, with_views
 from prefloom.operators.scoring import generate_batches, map_rows, score_batches
 from prefloom.plans.examples import build_preference_pairs, build_sft_examples, prepare_comparisons
+from prefloom.plans.evaluation import rollout_validation, sft_eval
 from prefloom.plans.rollouts import audit_rollouts
 from prefloom.plans.scoring import score_and_centre
+from prefloom.schemas import IGNORED_LABEL
 from prefloom.session import scratch_path
 from prefloom.sources.feedback import good_records, read_checked, read_comparisons, set_aside
 from prefloom.sources.tables import spread_small
@@ -184,6 +186,56 @@ def score_and_centre_query(spark, d):
     return out.select("id", rounded("score").alias("score"), rounded("centred_score").alias("centred_score"))
 
 
+@query(
+    "score_and_centre_stored",
+    with_views(
+        f", t AS (SELECT id, {sql_ids('post')} AS tokens FROM v_posts), s AS (SELECT id, {SCORE} AS score FROM t) "
+        f"SELECT id, {sql_round('score')} AS stored_score, {sql_round('score - (SELECT avg(score) FROM s)')} AS centred_score FROM s",
+        "v_posts",
+    ),
+)
+def score_and_centre_stored_query(spark, d):
+    """The scores come from the stored table, beside the job's result."""
+    path = scratch_path(spark, "posts")
+    out = score_and_centre(encoded_posts(spark, d), "tokens", MAKE_SCORER, path)
+    stored = spark.read.parquet(f"{path}_with_rewards").select("id", rounded("score").alias("stored_score"))
+    return stored.join(out.select("id", rounded("centred_score").alias("centred_score")), "id")
+
+
+@query(
+    "sft_eval",
+    with_views(
+        ", b AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 8 AS batch FROM v_aligned), "
+        "l AS (SELECT batch, avg(-lp) AS loss FROM v_tokens JOIN b USING (vec_id) WHERE m AND pos > 0 GROUP BY batch) "
+        f"SELECT {sql_round('avg(loss)')} AS eval_loss, count(*) AS batches, (SELECT count(DISTINCT batch) FROM b) - count(*) AS unlabelled FROM l",
+        "v_tokens",
+    ),
+)
+def sft_eval_query(spark, d):
+    labels = F.transform("mask", lambda m: F.when(m, F.lit(7)).otherwise(F.lit(IGNORED_LABEL)).cast("bigint"))
+    logged = v.token_log(spark, d).select("vec_id", "log_probs", labels.alias("labels"))
+    return sft_eval(logged, "vec_id", 8).withColumn("eval_loss", rounded("eval_loss"))
+
+
+@query(
+    "rollout_validation",
+    with_views(
+        f" SELECT event_id // 1000 AS step, {sql_round('avg(reward)')} AS mean_reward, count(*) AS n, 3 * count(*) AS report_lines, "
+        "count(*) AS reported_texts FROM v_rollouts GROUP BY event_id // 1000",
+        "v_rollouts",
+    ),
+)
+def rollout_validation_query(spark, d):
+    report = scratch_path(spark, "validation")
+    text = F.concat(F.lit("text of "), F.col("event_type"))
+    rows = v.rollouts(spark, d).withColumn("step", F.expr("event_id div 1000"))
+    means = rollout_validation(rows, text, report, pad_id=0, eos_id=1)
+    lines = spark.read.schema("value string, step bigint").text(report).groupBy("step").agg(
+        F.count("*").alias("report_lines"), F.count_if(F.startswith("value", F.lit("text of "))).alias("reported_texts")
+    )
+    return means.join(lines, "step").withColumn("mean_reward", rounded("mean_reward"))
+
+
 @query(
     "audit_rollouts",
     with_views(

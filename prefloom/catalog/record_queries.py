@@ -13,6 +13,7 @@ from prefloom.operators.scoring import attach_scores, centre_scores, unscored
 from prefloom.schemas import SftParams
 from prefloom.session import scratch_path
 from prefloom.sources import feedback, tables
+from prefloom.sources.published import publish, published, read_published
 
 ROUTED = """CASE split WHEN 'train' THEN 'train' ELSE 'validation' END"""
 AXIS_ROUTED = """CASE split WHEN 'test' THEN 'test' ELSE 'validation' END"""
@@ -117,6 +118,25 @@ def write_versioned_query(spark, d):
     return spark.read.schema(flat.schema).parquet(tables.write_versioned(flat, scratch_path(spark, "versioned"), "20240101_000000"))
 
 
+@query(
+    "publish",
+    with_views(
+        f" SELECT id, {AXIS_ROUTED} AS split, summary, count(*) OVER (PARTITION BY {AXIS_ROUTED}) AS logged_rows, "
+        "'20240102_000000' AS version FROM v_axis",
+        "v_axis",
+    ),
+)
+def publish_query(spark, d):
+    """Two versions are published and the current one is read, beside the row counts of its log."""
+    base = scratch_path(spark, "table")
+    rows = rec.route_split(v.axis_evals(spark, d), rec.AXIS_SPLITS)
+    flat = rows.select("info.id", "split", F.col("summary.text").alias("summary"))
+    for version in ("20240101_000000", "20240102_000000"):
+        publish(flat, base, version, SftParams(), "documents")
+    log = published(spark, base).orderBy(F.desc("version")).limit(1).select("version", F.inline("splits"))
+    return read_published(spark, base).join(F.broadcast(log), "split").withColumnRenamed("n_rows", "logged_rows")
+
+
 @query(
     "write_manifest",
     with_views(
