@@ -4,8 +4,10 @@ Both sides are normalised alike (A-Z lower-cased, words of letters and digits jo
 window is ``width`` consecutive words of an item, or the whole of a shorter item. The automaton reads
 each text once; the words it hits are mapped back to byte ranges of the original text.
 
-The benchmark is cut into automata of at most ``WINDOWS`` windows each, so a large benchmark costs more
-scans of the documents but never more memory; they travel as broadcasts of a bounded size.
+The distinct windows are made and gathered by Spark. Up to about ``WINDOWS`` of them make one automaton, which
+travels as a broadcast; a larger benchmark is dealt by hash into as many lots as that takes, and the documents pass
+one lot after the other, written in between, so that no task and no driver holds more than one lot. A pass adds
+its hits to those of the passes before.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm.text import LOWER, NOT_LETTERS, blocks, covered, extended, words
+from prefloom.session import cut_lineage
 
 WIDTH = 13
 WINDOWS = 500_000
+ADDED = ("n_words", "n_hit", "items", "spans")
+RESULTS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _TABLE = bytes(0x20 if NOT_LETTERS[LOWER[b]] else int(LOWER[b]) for b in range(256))
 
 
@@ -36,18 +41,19 @@ def item_windows(text: str | None, width: int = WIDTH) -> list[bytes]:
     return [b" %b " % b" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))]
 
 
-def _patterns(benchmark: DataFrame, item_column: str, text_column: str, width: int) -> Iterator[dict[str, tuple]]:
-    """Window to (number of words, items that have it), in parts of at most WINDOWS windows."""
-    part: dict[str, tuple[int, set]] = {}
-    for item, text in benchmark.select(item_column, text_column).toLocalIterator():
-        for window in item_windows(text, width):
-            # pyahocorasick reads str: a latin-1 view gives it bytes as they are
-            part.setdefault(window.decode("latin-1"), (window.count(b" ") - 1, set()))[1].add(item)
-        if len(part) >= WINDOWS:
-            yield part
-            part = {}
-    if part:
-        yield part
+def benchmark_windows(benchmark: DataFrame, item_column: str, text_column: str, width: int) -> DataFrame:
+    """Rows (window, items): each distinct window and the items that have it, sorted as strings; NULL items have no name."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = sorted(set(item_windows(batch.column("text")[row].as_py(), width)))
+                item = batch.column("item").slice(row, 1).take(pa.array([0] * len(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), item], ["window", "item"])
+
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    rows = items.mapInArrow(cut, "window binary, item string")
+    return rows.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def decontaminate(
@@ -66,55 +72,64 @@ def decontaminate(
     row by row and item by item; an empty benchmark hits nothing. Columns of ``df`` named like an added one
     are replaced.
     """
-    parts = []
-    for part in _patterns(benchmark, item_column, item_text_column, width):
-        plain = {w: (n, tuple(sorted(str(i) for i in items if i is not None))) for w, (n, items) in part.items()}
-        parts.append(df.sparkSession.sparkContext.broadcast(plain))
-    added = ["n_words", "n_hit", "items", "spans"]
-    kept = df.drop(*added)
-    schema = extended(
-        kept.schema, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    )
+    spark = df.sparkSession
+    windows = cut_lineage(benchmark_windows(benchmark, item_column, item_text_column, width))
+    lots = max(1, -(-windows.count() // WINDOWS))
+    rows = df.drop(*[c for c in df.columns if c.lower() in ADDED])
+    for lot in range(lots):
+        own = windows.where(F.pmod(F.xxhash64("window"), F.lit(lots)) == lot).toArrow()
+        # pyahocorasick reads str: a latin-1 view gives it bytes as they are
+        keys = [w.decode("latin-1") for w in own.column("window").to_pylist()]
+        values = zip([k.count(" ") - 1 for k in keys], map(tuple, own.column("items").to_pylist()))
+        rows = _scanned(rows, spark.sparkContext.broadcast(dict(zip(keys, values))), text_column)
+        if lot < lots - 1:
+            rows = cut_lineage(rows)
+    return rows
+
+
+def _scanned(df: DataFrame, patterns, text_column: str) -> DataFrame:
+    """``df`` with the columns of ADDED, or with the hits of ``patterns`` added to those it has."""
+    further = set(ADDED) <= set(df.columns)
+    schema = df.schema if further else extended(df.schema, RESULTS)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automata = []
-        for part in parts:
-            automaton = ahocorasick.Automaton()
-            for window, value in part.value.items():
-                automaton.add_word(window, value)
+        automaton = ahocorasick.Automaton()
+        for window, value in patterns.value.items():
+            automaton.add_word(window, value)
+        if len(automaton):
             automaton.make_automaton()
-            automata.append(automaton)
         for block in blocks(batches, text_column):
             n_words, n_hit, items, spans = [], [], [], []
             for row in range(block.rows.num_rows):
                 raw = block.data[block.offsets[row] : block.offsets[row + 1]].tobytes()
                 text = normalised(raw)
                 n_words.append(max(text.count(b" ") - 1, 0) if text != b"  " else 0)
-                readable = text.decode("latin-1")
-                found = [(end, *value) for a in automata for end, value in a.iter(readable)]
-                n_hit.append(0), items.append([]), spans.append([])
-                if not found:
-                    continue
-                blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+                before = block.rows.column("spans")[row].as_py() if further else []
+                known = block.rows.column("items")[row].as_py() if further else []
+                found = [(end, *value) for end, value in automaton.iter(text.decode("latin-1"))] if len(automaton) else []
                 hit = np.zeros(n_words[-1], dtype=bool)
-                for n in {n for _, n, _ in found}:
-                    ends = np.array([e for e, m, _ in found if m == n])
-                    hit |= covered(np.searchsorted(blanks, ends) - n, n, len(hit))
-                own = words(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), NOT_LETTERS, hashed=False)
+                if found or before:
+                    own = words(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), NOT_LETTERS, hashed=False)
+                    for s in before:
+                        hit |= (own.start >= s["start"]) & (own.end <= s["end"])
+                if found:
+                    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+                    for n in {n for _, n, _ in found}:
+                        ends = np.array([e for e, m, _ in found if m == n])
+                        hit |= covered(np.searchsorted(blanks, ends) - n, n, len(hit))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                n_hit[-1] = int(hit.sum())
-                items[-1] = sorted({i for _, _, own_items in found for i in own_items})
-                spans[-1] = [
-                    {"start": int(own.start[a]), "end": int(own.end[b - 1])} for a, b in zip(edges[::2], edges[1::2])
-                ]
-            arrays = [*block.rows.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())]
-            arrays += [pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays(arrays, [*block.rows.schema.names, *added])
-
-    return kept.mapInArrow(scan, schema)
+                n_hit.append(int(hit.sum()))
+                items.append(sorted({*known, *(i for _, _, own_items in found for i in own_items)}))
+                spans.append([{"start": int(own.start[a]), "end": int(own.end[b - 1])} for a, b in zip(edges[::2], edges[1::2])])
+            results = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(span))]
+            others = [c for c in block.rows.schema.names if not further or c not in ADDED]
+            arrays = {**{c: block.rows.column(c) for c in others}, **dict(zip(ADDED, results))}
+            yield pa.RecordBatch.from_arrays([arrays[c] for c in schema.names], schema.names)
+
+    return df.mapInArrow(scan, schema)
 
 
 def contaminated() -> F.Column:

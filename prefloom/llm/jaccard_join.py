@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from prefloom.llm import exchange
 from prefloom.llm.text import LOWER, Spans, blocks, mixed, words
+from prefloom.operators.skew import SLICES, hot_keys, is_one_of, join_unique
 from prefloom.session import cut_lineage, scratch_path
 
 WIDTH, LEAST_PERCENT = 4, 85
@@ -368,12 +369,16 @@ def jaccard_classes(
     named = named.join(nodes.select(F.col("one").alias("b1"), F.col("two").alias("b2"), F.col("node").alias("v")), ["b1", "b2"])
     roots = nodes.join(components(named.select("u", "v")), "node", "left")
     roots = roots.select("one", "two", F.coalesce("root", "node").alias("root"))
-    placed = rows.join(roots, ["one", "two"], "left")
+    # A set or a component that many rows have is joined in slices: its one answer row is repeated for each.
+    is_hot = is_one_of(F.col("one"), hot_keys(rows, "one"))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("slice", F.when(is_hot, F.pmod(F.xxhash64("row"), F.lit(SLICES)).cast("int")).otherwise(F.lit(0)))
+    placed = rows.join(roots.withColumn("slice", F.explode(copies)), ["one", "two", "slice"], "left")
     placed = cut_lineage(placed.select("id", "row", "size", F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("row")).alias("root")))
     least = placed.groupBy("root").agg(
         F.min("id").alias("least"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("first")
     )
-    return placed.join(least, "root").select(
+    return join_unique(placed, least, "root", hot_keys(placed, "root"), ["row"]).select(
         F.col("id").alias(id_column),
         F.col("size").alias("n_shingles"),
         F.col("least").alias("component_id"),
