@@ -18,6 +18,7 @@ from prefloom.llm.quality_rules import COUNTS, FENCES, judge, sketches, with_met
 from prefloom.llm.queries import table, tokenizer_path
 from prefloom.llm.secret_scans import redact, scan
 from prefloom.llm.text import unused
+from prefloom.operators.skew import hot_keys, join_unique
 from prefloom.session import cut_lineage, drop_scratch, scratch_made, scratch_path
 
 
@@ -39,10 +40,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     row, first = unused(docs.columns, "row", "first")
     numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
     classes = cut_lineage(jaccard_classes(numbered, id_column=row)).where("n_shingles > 0")
-    known = classes.join(numbered.select(row, "doc_id"), row)
+    known = cut_lineage(classes.join(numbered.select(row, "doc_id"), row))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
     kept = known.groupBy("component_id").agg(F.min_by(row, order).alias(first))
-    copies = known.join(kept, "component_id").where(F.col(row) != F.col(first)).select(row)
+    copies = join_unique(known, kept, "component_id", hot_keys(known, "component_id"), [row])
+    copies = copies.where(F.col(row) != F.col(first)).select(row)
     return numbered.join(copies, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
