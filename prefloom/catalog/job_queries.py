@@ -14,6 +14,7 @@ from prefloom.catalog.record_queries import _PICKED, ROUTED, comparison_files
 from prefloom.catalog.registry import query
 from prefloom.catalog.views import TOKENIZER, joined, rounded, sql_fill, sql_fix_width, sql_ids, sql_joined, sql_round, with_views
 from prefloom.operators.scoring import generate_batches, map_rows, score_batches
+from prefloom.operators.table_functions import register_generator
 from prefloom.plans.examples import build_preference_pairs, build_sft_examples, prepare_comparisons
 from prefloom.plans.evaluation import rollout_validation, sft_eval
 from prefloom.plans.rollouts import audit_rollouts
@@ -81,21 +82,30 @@ def score_batches_query(spark, d):
     return scored.select("id", rounded("score").alias("score"))
 
 
-@query(
-    "generate_batches",
-    with_views(
-        f", t AS (SELECT id, {sql_ids('post')} AS tokens FROM v_posts), r AS (SELECT id, s::INT AS response_no, list_transform(tokens, lambda t: t + s) AS tokens FROM t CROSS JOIN range(2) AS x(s)) "
-        f"SELECT id, response_no, {sql_joined('tokens')} AS response_tokens, "
-        f"{sql_round('coalesce(list_sum(list_transform(tokens, lambda t: -(t % 10) / 10.0::DOUBLE)), 0)')} AS logp FROM r",
-        "v_posts",
-    ),
+_GENERATED = with_views(
+    f", t AS (SELECT id, {sql_ids('post')} AS tokens FROM v_posts), r AS (SELECT id, s::INT AS response_no, list_transform(tokens, lambda t: t + s) AS tokens FROM t CROSS JOIN range(2) AS x(s)) "
+    f"SELECT id, response_no, {sql_joined('tokens')} AS response_tokens, "
+    f"{sql_round('coalesce(list_sum(list_transform(tokens, lambda t: -(t % 10) / 10.0::DOUBLE)), 0)')} AS logp FROM r",
+    "v_posts",
 )
+
+
+@query("generate_batches", _GENERATED)
 def generate_batches_query(spark, d):
     rows = generate_batches(encoded_posts(spark, d), "id", "tokens", MAKE_GENERATOR)
     logp = F.aggregate("log_probs", F.lit(0.0), lambda s, x: s + x)
     return rows.select("id", "response_no", joined("response_tokens").alias("response_tokens"), rounded(logp).alias("logp"))
 
 
+@query("generate_table_function", _GENERATED)
+def generate_table_function_query(spark, d):
+    """The same generation, called from SQL."""
+    register_generator(spark, "generate_responses", MAKE_GENERATOR)
+    rows = spark.sql("SELECT * FROM generate_responses(TABLE({posts}), 'id', 'tokens')", posts=encoded_posts(spark, d))
+    logp = F.aggregate("log_probs", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("id", "response_no", joined("response_tokens").alias("response_tokens"), rounded(logp).alias("logp"))
+
+
 PAD_LEFT = "CASE WHEN q IS NOT NULL THEN list_concat(" + sql_fill("0", "512 - len(q)") + ", q) END"
 
 

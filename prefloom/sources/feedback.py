@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,9 +61,22 @@ def parsed_lines(lines: DataFrame, kind: str) -> DataFrame:
     return records.where(F.col("record").isNotNull()).select("record.*")
 
 
-def read_feedback(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
-    """Records of a kind from files or folders, as ``parsed_lines`` has them."""
-    return parsed_lines(spark.read.text(paths), kind)
+def feedback_lines(spark: SparkSession, paths: str | list[str], without: Sequence[str] = ()) -> DataFrame:
+    """The lines of files or folders, but for the files named after the batches ``without``: Spark leaves these out
+    when it lists the files, so they are not opened."""
+    lines = spark.read.text(paths)
+    if without:
+        lines = lines.where(~F.col("_metadata.file_name").isin([f"{batch}.json" for batch in without]))
+    return lines.select("value")
+
+
+def read_feedback(spark: SparkSession, kind: str, paths: str | list[str], without: Sequence[str] = ()) -> DataFrame:
+    """Records of a kind from files or folders, as ``parsed_lines`` has them, without the files of some batches.
+
+    ``exclude_batches`` judges record by record; ``without`` is for batches that no split needs and that have
+    files of their own, as the published ones do.
+    """
+    return parsed_lines(feedback_lines(spark, paths, without), kind)
 
 
 def checked_lines(lines: DataFrame, kind: str) -> DataFrame:
@@ -101,9 +115,9 @@ def checked_lines(lines: DataFrame, kind: str) -> DataFrame:
     return judged.withColumn("record", F.when(F.col("reason").isNull(), F.col("record")))
 
 
-def read_checked(spark: SparkSession, kind: str, paths: str | list[str]) -> DataFrame:
-    """All lines of files or folders with their records or reasons."""
-    return checked_lines(spark.read.text(paths), kind)
+def read_checked(spark: SparkSession, kind: str, paths: str | list[str], without: Sequence[str] = ()) -> DataFrame:
+    """All lines of files or folders with their records or reasons, without the files of some batches."""
+    return checked_lines(feedback_lines(spark, paths, without), kind)
 
 
 def good_records(checked: DataFrame) -> DataFrame:

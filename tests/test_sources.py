@@ -88,3 +88,15 @@ def test_lines_are_records_or_have_a_reason(spark, tmp_path):
     assert rows.schema == feedback.KINDS["comparisons"].schema and checked.count() == 2 + len(bad)
     axis = feedback.read_checked(spark, "axis", str(path))
     assert axis.where("reason IS NULL").count() + feedback.set_aside(axis).count() == axis.count()
+
+
+def test_files_of_batches_that_are_left_out_are_not_read(spark, tmp_path):
+    for name, text in (("batch3", json.dumps(record())), ("cnndm0", "no record at all"), ("batch4", json.dumps(record()))):
+        (tmp_path / f"{name}.json").write_text(text + "\n")
+    rows = feedback.read_feedback(spark, "comparisons", str(tmp_path), without=["cnndm0", "cnndm2"])
+    assert len(rows.collect()) == 2
+    plan = rows._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().apply("numFiles").value() == 2
+    assert feedback.read_checked(spark, "comparisons", str(tmp_path)).count() == 3
