@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -54,7 +53,7 @@ def decode(
     plain = vocabulary.where(F.col("token").isNotNull() & ~F.col("token_id").isin(*specials))
     entries, size = plain.limit(small_vocabulary + 1).agg(F.count("*"), F.sum(F.octet_length("token"))).first()
     if entries <= small_vocabulary and (size or 0) <= SMALL_VOCABULARY_BYTES:
-        return df.select(key, _lookup(plain.toPandas(), df)(F.col(tokens)).alias(out))
+        return df.select(key, _lookup(plain.select("token_id", "token").toArrow(), df)(F.col(tokens)).alias(out))
     # Rows get a number of their own, so that equal keys stay apart.
     rows = cut_lineage(df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()))
     sample, _, fraction = bounded_sample(rows.select(tokens), SAMPLE_SEQUENCES)
@@ -71,11 +70,10 @@ def decode(
     return whole.select(key, F.when(~F.col("_none"), F.col(out)).alias(out))
 
 
-def _lookup(vocabulary: pd.DataFrame, df: DataFrame):
-    kept = vocabulary.dropna(subset=["token_id"]).sort_values("token_id")
-    table = df.sparkSession.sparkContext.broadcast(
-        (kept["token_id"].to_numpy("int64"), pa.array(kept["token"].to_list(), pa.string()))
-    )
+def _lookup(vocabulary: pa.Table, df: DataFrame):
+    kept = vocabulary.filter(pc.is_valid(vocabulary.column("token_id"))).sort_by("token_id").combine_chunks()
+    ids = kept.column("token_id").to_numpy().astype("int64")
+    table = df.sparkSession.sparkContext.broadcast((ids, pa.concat_arrays(kept.column("token").cast(pa.string()).chunks or [pa.array([], pa.string())])))
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
