@@ -61,9 +61,10 @@ def parsed_lines(lines: DataFrame, kind: str) -> DataFrame:
     return records.where(F.col("record").isNotNull()).select("record.*")
 
 
-def feedback_lines(spark: SparkSession, paths: str | list[str], without: Sequence[str] = ()) -> DataFrame:
-    """The lines of files or folders, but for the files named after the batches ``without``: Spark leaves these out
+def feedback_lines(spark: SparkSession, kind: str, paths: str | list[str], without: Sequence[str] = ()) -> DataFrame:
+    """The lines of a kind's files or folders, but for the files named after the batches ``without``: Spark leaves these out
     when it lists the files, so they are not opened."""
+    feedback_kind(kind)
     lines = spark.read.text(paths)
     if without:
         lines = lines.where(~F.col("_metadata.file_name").isin([f"{batch}.json" for batch in without]))
@@ -76,7 +77,7 @@ def read_feedback(spark: SparkSession, kind: str, paths: str | list[str], withou
     ``exclude_batches`` judges record by record; ``without`` is for batches that no split needs and that have
     files of their own, as the published ones do.
     """
-    return parsed_lines(feedback_lines(spark, paths, without), kind)
+    return parsed_lines(feedback_lines(spark, kind, paths, without), kind)
 
 
 def checked_lines(lines: DataFrame, kind: str) -> DataFrame:
@@ -117,7 +118,7 @@ def checked_lines(lines: DataFrame, kind: str) -> DataFrame:
 
 def read_checked(spark: SparkSession, kind: str, paths: str | list[str], without: Sequence[str] = ()) -> DataFrame:
     """All lines of files or folders with their records or reasons, without the files of some batches."""
-    return checked_lines(feedback_lines(spark, paths, without), kind)
+    return checked_lines(feedback_lines(spark, kind, paths, without), kind)
 
 
 def good_records(checked: DataFrame) -> DataFrame:
