@@ -84,3 +84,25 @@ def test_rounds_find_shared_windows():
                 if (own != 256).all() and same:
                     want.add((n, i))
         assert found == want
+
+
+def test_bytes_at_the_registered_length(spark):
+    """Passages around 400 bytes: one byte too short, just long enough, overlapping, within one text, and in long texts."""
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("abcdefgh ij\n") for _ in range(n))
+    just, short, long = noise(400), noise(399), noise(1500)
+    rows = [None, "", just, noise(50) + just, short + "X", "Y" + short, noise(300) + long + noise(80), long[700:] + noise(30)]
+    rows += [long[:900] + noise(20) + long[600:], "z" * 1201, "é" * 200 + "q", "é" * 200, noise(700) * 2, noise(9000) + just + noise(9000)]
+    got = remove_repeats(brute.frame(spark, rows), 400).orderBy("doc_id").collect()
+    assert [(g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got] == brute.remove_bytes(rows, 400)
+    assert sum(g.n_removed for g in got) > 3000
+
+
+def test_words_of_very_long_texts(spark):
+    r = random.Random(12)
+    word = lambda: r.choice(["a", "b", "cd"])
+    shared = [word() for _ in range(60)]
+    rows = [" ".join([word() for _ in range(30_000)] + shared), "x y", " ".join([*(f"w{i}" for i in range(9000)), *shared, "end"])]
+    got = remove_seen(brute.frame(spark, rows), 13).orderBy("doc_id").collect()
+    assert [(g.n_words, g.n_removed, g.kept_sha256) for g in got] == brute.remove_words(list(zip(range(1, 4), rows)), 13)
+    assert got[2].n_removed == 60
