@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.text import LOWER, NOT_LETTERS, blocks, covered, extended, words
+from prefloom.llm.text import LOWER, NOT_LETTERS, blocks, covered, extended, released, words
 from prefloom.session import cut_lineage
 
 WIDTH = 13
@@ -129,7 +129,7 @@ def _scanned(df: DataFrame, patterns, text_column: str) -> DataFrame:
             arrays = {**{c: block.rows.column(c) for c in others}, **dict(zip(ADDED, results))}
             yield pa.RecordBatch.from_arrays([arrays[c] for c in schema.names], schema.names)
 
-    return df.mapInArrow(scan, schema)
+    return df.mapInArrow(released(scan), schema)
 
 
 def contaminated() -> F.Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.llm import exchange
-from prefloom.llm.text import LOWER, Spans, blocks, mixed, words
+from prefloom.llm.text import LOWER, Spans, blocks, mixed, released, words
 from prefloom.operators.skew import SLICES, hot_keys, is_one_of, join_unique
 from prefloom.session import cut_lineage, scratch_path
 
@@ -274,7 +274,7 @@ def jaccard_classes(
                 many = count >= 3
                 yield pa.RecordBatch.from_arrays([pa.array(key[many].astype(np.int64)), pa.array(count[many].astype(np.int64))], ["key", "n"])
 
-    counts = stored.mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32")
+    counts = stored.mapInArrow(released(often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32")
     known = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     keys = known.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -350,7 +350,7 @@ def jaccard_classes(
                         yield pa.RecordBatch.from_arrays(arrays, names)
 
     path = scratch_path(spark, "regions")
-    stored.join(replies, "block", "left").mapInArrow(regions, schema).write.parquet(path)
+    stored.join(replies, "block", "left").mapInArrow(released(regions), schema).write.parquet(path)
     noted = spark.read.parquet(path)
     rows = noted.where(F.col("region").isNull()).select("id", "row", "size", "one", "two")
     members = noted.where(F.col("region").isNotNull()).select("region", "one", "two", "elements")

@@ -6,7 +6,9 @@ its own), so the arrays of one task stay small whatever the batch holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,3 +137,21 @@ def unused(taken: Iterable[str], *names: str) -> list[str]:
         known.add(name.lower())
         out.append(name)
     return out
+
+
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``fn`` over the batches of a task, after which the worker gives back the memory that it no longer needs: it
+    stays alive for later tasks, and beside it an executor's other stages run."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it, others need not
+            if trim is not None:
+                trim(0)
+
+    return run
