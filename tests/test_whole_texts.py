@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefloom.catalog.registry import QUERIES
+from prefloom.schemas import EOS_TEXT
 
 TEXTS = ["one line only", "first line\n\nsecond line\nand a last one", "ends with a break\n", "\n \n", ""]
 
@@ -19,3 +20,8 @@ def folder(spark, tmp_path_factory):
 def test_versions_hold_whole_texts(spark, folder):
     rows = QUERIES["write_versioned"](spark, folder).collect()
     assert {int(r.id): r.summary for r in rows} == dict(enumerate(TEXTS))
+
+
+def test_responses_are_whole_texts(spark, folder):
+    rows = QUERIES["format_response"](spark, folder).collect()
+    assert {r.id: r.sft_response for r in rows} == {i: f" {t}{EOS_TEXT}" for i, t in enumerate(TEXTS)}
