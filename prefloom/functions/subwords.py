@@ -20,6 +20,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +30,30 @@ from prefloom.schemas import EOS_TEXT, PAD_TEXT
 
 # A word takes one blank before it; runs of other blanks are words of their own.
 WORD_PATTERN = r" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+"
-CACHED_WORDS = 1_000_000
+# What a task keeps of the words it met, in characters and ids; beyond that it starts anew.
+CACHED_SIZE = 4_000_000
+WORD_SIZE = 30  # what an entry takes besides, in the same measure
+# Texts and ids of a batch are worked on in slices of so many bytes, as their lists take many times that.
+SLICE_BYTES = 1 << 20
 SHORT = 100  # characters; within so many all cuts are tried
 FITTED = "struct<prompt: string, ids: array<bigint>>"
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``most`` at most; a larger row is a range of its own."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, end
+        start = end
+
+
+def text_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def merge_pairs(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     """Ids of the tokens that the bytes of a word are merged to, in n log n steps: pairs wait in a heap, and one that
     has changed since it was put there is passed over."""
@@ -75,6 +95,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.pattern = regex.compile(pattern)
         self.known: dict[str, list[int]] = {}
+        self.known_size = 0
         self.longest = max(map(len, (*tokens, *(t.encode() for t in specials))))
 
     def spans(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
@@ -92,10 +113,13 @@ class Encoder:
     def word(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
             own = self.specials.get(word)
-            ids = self.known[word] = [own] if own is not None else merge_pairs(word.encode(), self.ranks)
+            ids = [own] if own is not None else merge_pairs(word.encode(), self.ranks)
+            self.known_size += WORD_SIZE + len(word) + len(ids)
+            if self.known_size > CACHED_SIZE:
+                self.known.clear()
+                self.known_size = WORD_SIZE + len(word) + len(ids)
+            self.known[word] = ids
         return ids
 
     def encode(self, text: str, start: int = 0) -> list[int]:
@@ -210,8 +234,10 @@ class SubwordTokenizer:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = make()
             for batch in batches:
-                ids = [None if t is None else own.encode(t)[:limit] for t in batch.to_pylist()]
-                yield pa.array(ids, pa.list_(pa.int64()))
+                for start, end in slices(text_sizes(batch), SLICE_BYTES):
+                    texts = batch.slice(start, end - start).to_pylist()
+                    ids = [None if t is None else own.encode(t)[:limit] for t in texts]
+                    yield pa.array(ids, pa.list_(pa.int64()))
 
         return run(text)
 
@@ -265,18 +291,20 @@ class SubwordTokenizer:
         @F.arrow_udf("string")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pieces = pa.array(tokens, pa.binary())
-            for batch in batches:
-                length = np.where(batch.is_valid().to_numpy(zero_copy_only=False), np.diff(batch.offsets.to_numpy()), 0)
-                flat = batch.flatten()
-                place = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-                known = (place >= 0) & (place < len(tokens))
-                edges = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(length)])]
-                own = pieces.take(pa.array(place[known]))
-                ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
-                body = memoryview(own.buffers()[2]) if own.buffers()[2] is not None else memoryview(b"")
-                cut = ends[edges].tolist() if len(own) else [0] * len(edges)
-                texts = [bytes(body[a:b]).decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
-                yield pa.array(texts, pa.string(), mask=~batch.is_valid().to_numpy(zero_copy_only=False))
+            for whole in batches:
+                sizes = np.where(whole.is_valid().to_numpy(zero_copy_only=False), np.diff(whole.offsets.to_numpy()), 0)
+                for start, end in slices(8 * sizes, SLICE_BYTES):
+                    batch, length = whole.slice(start, end - start), sizes[start:end]
+                    flat = batch.flatten()
+                    place = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+                    known = (place >= 0) & (place < len(tokens))
+                    edges = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(length)])]
+                    own = pieces.take(pa.array(place[known]))
+                    ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+                    body = memoryview(own.buffers()[2]) if own.buffers()[2] is not None else memoryview(b"")
+                    cut = ends[edges].tolist() if len(own) else [0] * len(edges)
+                    texts = [bytes(body[a:b]).decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
+                    yield pa.array(texts, pa.string(), mask=~batch.is_valid().to_numpy(zero_copy_only=False))
 
         return run(ids)
 
