@@ -269,13 +269,14 @@ class SubwordTokenizer:
         @F.arrow_udf(FITTED)
         def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             own = make()
-            for heads, bodies, tails in batches:
-                rows = zip(heads.to_pylist(), bodies.to_pylist(), tails.to_pylist())
-                found = [own.fit(*row, budget, cut_text) for row in rows]
-                texts = pa.array([f and f[0] for f in found], pa.string())
-                ids = pa.array([f and f[1] for f in found], pa.list_(pa.int64()))
-                none = pa.array([f is None for f in found])
-                yield pa.StructArray.from_arrays([texts, ids], ["prompt", "ids"], mask=none)
+            for parts in batches:
+                for start, end in slices(sum(map(text_sizes, parts)), SLICE_BYTES):
+                    rows = zip(*(part.slice(start, end - start).to_pylist() for part in parts))
+                    found = [own.fit(*row, budget, cut_text) for row in rows]
+                    texts = pa.array([f and f[0] for f in found], pa.string())
+                    ids = pa.array([f and f[1] for f in found], pa.list_(pa.int64()))
+                    none = pa.array([f is None for f in found])
+                    yield pa.StructArray.from_arrays([texts, ids], ["prompt", "ids"], mask=none)
 
         body = F.coalesce(fields[cut_field].cast("string"), F.lit(null_text))
         return run(before.render(fields, null_text), body, after.render(fields, null_text))

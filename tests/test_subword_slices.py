@@ -21,3 +21,12 @@ def test_batches_beyond_a_slice_come_back_whole(spark):
     assert {(r.id, r.text == r.back) for r in encoded.select("id", "text", SLICED.decode(F.col("ids")).alias("back")).collect()} == {
         (i, True if t is not None else None) for i, t in texts
     }
+
+
+def test_prompts_beyond_a_slice_are_cut_row_by_row(spark):
+    posts = [(i, ["ring " * (subwords.SLICE_BYTES // 4), None, "", "a\nb"][i % 4]) for i in range(9)]
+    df = spark.createDataFrame(posts, "id int, post string").coalesce(1)
+    fitted = df.select("id", SLICED.fit_prompt_ids("{post} end", {"post": F.col("post")}, 20).alias("f")).collect()
+    own = SLICED.encoder()
+    expected = {i: own.fit("", "None" if p is None else p, " end", 20, "\n") for i, p in posts}
+    assert {r.id: (r.f.prompt, r.f.ids) for r in fitted} == expected
