@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from prefloom.catalog.subword_queries import TOKENIZER as SLICED
 from prefloom.functions import subwords
+from prefloom.functions.subwords import merge_pairs
 
 
 def test_slices_cover_all_rows_and_stay_small():
@@ -30,3 +31,12 @@ def test_prompts_beyond_a_slice_are_cut_row_by_row(spark):
     own = SLICED.encoder()
     expected = {i: own.fit("", "None" if p is None else p, " end", 20, "\n") for i, p in posts}
     assert {r.id: (r.f.prompt, r.f.ids) for r in fitted} == expected
+
+
+def test_words_kept_by_a_task_are_bounded(monkeypatch):
+    monkeypatch.setattr(subwords, "CACHED_SIZE", 1000)
+    own, fresh = SLICED.encoder(), SLICED.encoder()
+    words = [f"w{i}{'x' * (i % 50)}" for i in range(300)] + ["y" * 5000]
+    for word in words:
+        assert own.word(word) == merge_pairs(word.encode(), fresh.ranks)
+        assert sum(len(w) + len(ids) for w, ids in own.known.items()) <= 1000 or len(own.known) == 1
