@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefloom.functions.tokens import WordTokenizer
 from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, join_unique
@@ -19,11 +20,13 @@ SMALL_VOCABULARY = 1_000_000
 SMALL_VOCABULARY_BYTES = 64 << 20
 # Sequences looked at to find tokens that make up a large share of a data set.
 SAMPLE_SEQUENCES = 2_000
+# Rows that are named together by a larger vocabulary.
+BLOCK_ROWS = 256
 
 
 def build_vocabulary(texts: DataFrame, text: str, tokenizer: WordTokenizer = WordTokenizer()) -> DataFrame:
     """(token_id, token) of every word in the texts; two words with one id fail the query."""
-    words = texts.select(F.explode(tokenizer.words(F.col(text))).alias("token")).distinct()
+    words = texts.select(F.explode(F.array_distinct(tokenizer.words(F.col(text)))).alias("token")).distinct()
     ids = words.select(tokenizer.word_id(F.col("token")).alias("token_id"), "token")
     return ids.groupBy("token_id").agg(_only_word().alias("token"))
 
@@ -48,49 +51,59 @@ def decode(
 
     A NULL array gives NULL; ids that are NULL or have no word are left out; keys may repeat. A vocabulary
     of at most ``small_vocabulary`` entries (and a size to match) is looked up inside each task without a
-    shuffle, a larger one is joined token by token; both give the same rows.
+    shuffle, a larger one is joined to the distinct ids of blocks of rows; both give the same rows.
     """
     plain = vocabulary.where(F.col("token").isNotNull() & ~F.col("token_id").isin(*specials))
     entries, size = plain.limit(small_vocabulary + 1).agg(F.count("*"), F.sum(F.octet_length("token"))).first()
     if entries <= small_vocabulary and (size or 0) <= SMALL_VOCABULARY_BYTES:
         return df.select(key, _lookup(plain.select("token_id", "token").toArrow(), df)(F.col(tokens)).alias(out))
-    # Rows get a number of their own, so that equal keys stay apart.
-    rows = cut_lineage(df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()))
-    sample, _, fraction = bounded_sample(rows.select(tokens), SAMPLE_SEQUENCES)
-    sampled = sample.agg(F.sum(F.array_size(tokens))).first()[0] or 0
-    hot = frequent_keys(sample.select(F.explode(tokens).alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
-    places = rows.select(
-        key, "_row", F.col(tokens).isNull().alias("_none"), F.posexplode_outer(tokens).alias("_pos", "token_id")
-    )
-    named = join_unique(places, plain, "token_id", hot, [key, "_row", "_none", "_pos"], how="left")
-    # Tokens without a word count as NULL, which collect_list leaves out.
-    words = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))))
-    text = F.array_join(F.transform(words, lambda w: w["token"]), " ")
-    whole = named.groupBy("_row", key).agg(F.max("_none").alias("_none"), text.alias(out))
-    return whole.select(key, F.when(~F.col("_none"), F.col(out)).alias(out))
+    # A block of rows asks once for each of its ids.
+    numbered = df.select(F.col(key).alias("key"), F.col(tokens).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    rows = cut_lineage(numbered.select("key", "ids", F.expr(f"row div {BLOCK_ROWS}").alias("block")))
+    sample, _, fraction = bounded_sample(rows.select("ids"), SAMPLE_SEQUENCES)
+    sampled = sample.agg(F.sum(F.array_size("ids"))).first()[0] or 0
+    hot = frequent_keys(sample.select(F.explode("ids").alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
+    asked = rows.select("block", F.explode(F.array_distinct("ids")).alias("token_id")).distinct()
+    names = join_unique(asked, plain, "token_id", hot, ["block"], how="inner").select(F.col("block").alias("asking"), "token_id", "token")
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.StringType())])
 
+    def name(rows: pa.Table, names: pa.Table) -> pa.Table:
+        found = _named(rows.column("ids").combine_chunks(), *_sorted(names))
+        return pa.table([rows.column("key"), found], names=[key, out])
 
-def _lookup(vocabulary: pa.Table, df: DataFrame):
+    return rows.groupBy("block").cogroup(names.groupBy("asking")).applyInArrow(name, schema)
+
+
+def _sorted(vocabulary: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Ids in ascending order, and their words."""
     kept = vocabulary.filter(pc.is_valid(vocabulary.column("token_id"))).sort_by("token_id").combine_chunks()
     ids = kept.column("token_id").to_numpy().astype("int64")
-    table = df.sparkSession.sparkContext.broadcast((ids, pa.concat_arrays(kept.column("token").cast(pa.string()).chunks or [pa.array([], pa.string())])))
+    return ids, pa.concat_arrays(kept.column("token").cast(pa.string()).chunks or [pa.array([], pa.string())])
+
+
+def _named(batch: pa.Array, ids: np.ndarray, words: pa.Array) -> pa.Array:
+    """The texts of token arrays, all looked up at once."""
+    length = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+    flat = batch.flatten()
+    known = np.zeros(len(flat), dtype=bool)
+    spots = np.zeros(len(flat), dtype=np.int64)
+    if len(ids):
+        tokens = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        spots = np.minimum(np.searchsorted(ids, tokens), len(ids) - 1)
+        known = (ids[spots] == tokens) & flat.is_valid().to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(known)])
+    offsets = before[np.concatenate([[0], np.cumsum(length)])]
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(spots[known])))
+    return pc.if_else(batch.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+
+
+def _lookup(vocabulary: pa.Table, df: DataFrame):
+    table = df.sparkSession.sparkContext.broadcast(_sorted(vocabulary))
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, words = table.value
         for batch in batches:
-            # All arrays of a batch are looked up at once.
-            length = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            flat = batch.flatten()
-            known = np.zeros(len(flat), dtype=bool)
-            spots = np.zeros(len(flat), dtype=np.int64)
-            if len(ids):
-                tokens = flat.fill_null(0).to_numpy(zero_copy_only=False)
-                spots = np.minimum(np.searchsorted(ids, tokens), len(ids) - 1)
-                known = (ids[spots] == tokens) & flat.is_valid().to_numpy(zero_copy_only=False)
-            before = np.concatenate([[0], np.cumsum(known)])
-            offsets = before[np.concatenate([[0], np.cumsum(length)])]
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(spots[known])))
-            yield pc.if_else(batch.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+            yield _named(batch, ids, words)
 
     return run

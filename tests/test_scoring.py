@@ -90,3 +90,13 @@ def test_decode_by_lookup_and_by_join(spark, small_vocabulary, min_hot_rows):
     got = decode(encoded, "id", "tokens", build_vocabulary(df, "text"), small_vocabulary=small_vocabulary, min_hot_rows=min_hot_rows)
     want = {i: " ".join(w for w in t.split() if w not in ("<|endoftext|>", "[PAD]")) for i, t in texts.items()}
     assert {r.id: r.decoded for r in got.collect()} == want
+
+
+def test_large_vocabularies_are_asked_once_a_block(spark):
+    """Rows of one block send each of their ids once, however often their tokens repeat."""
+    texts = spark.range(400).selectExpr("id", "repeat(concat('one two w', id % 3, ' '), 50) AS text")
+    encoded = texts.select("id", WordTokenizer().encode(F.col("text")).alias("tokens"))
+    got = decode(encoded, "id", "tokens", build_vocabulary(texts, "text"), small_vocabulary=0)
+    assert {r.id: r.decoded for r in got.collect()} == {i: " ".join(f"one two w{i % 3}" for _ in range(50)) for i in range(400)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and "posexplode" not in plan
