@@ -112,7 +112,7 @@ DECODED = f"""WITH vocabulary AS (SELECT id, min(t) AS word FROM (
 
 def decoded(spark, d, **how):
     documents = spread_small(v.table(spark, d, "documents"))
-    encoded = documents.select("doc_id", TOKENIZER.encode(F.col("text")).alias("tokens"))
+    encoded = documents.select("doc_id", TOKENIZER.encode_batches(F.col("text")).alias("tokens"))
     vocabulary = cut_lineage(build_vocabulary(documents, "text"))
     return decode(encoded, "doc_id", "tokens", vocabulary, **how)
 

@@ -20,12 +20,11 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefloom.functions.text import Template
-from prefloom.functions.tokens import IDS, CallableTokenizer, WordTokenizer
+from prefloom.functions.tokens import IDS, SLICE_BYTES, CallableTokenizer, WordTokenizer, slices, text_sizes
 from prefloom.schemas import EOS_TEXT, PAD_TEXT
 
 # A word takes one blank before it; runs of other blanks are words of their own.
@@ -33,27 +32,10 @@ WORD_PATTERN = r" ?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+"
 # What a task keeps of the words it met, in characters and ids; beyond that it starts anew.
 CACHED_SIZE = 4_000_000
 WORD_SIZE = 30  # what an entry takes besides, in the same measure
-# Texts and ids of a batch are worked on in slices of so many bytes, as their lists take many times that.
-SLICE_BYTES = 1 << 20
 SHORT = 100  # characters; within so many all cuts are tried
 FITTED = "struct<prompt: string, ids: array<bigint>>"
 
 
-def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose sizes add up to ``most`` at most; a larger row is a range of its own."""
-    ends = np.cumsum(sizes)
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield start, end
-        start = end
-
-
-def text_sizes(texts: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def merge_pairs(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
     """Ids of the tokens that the bytes of a word are merged to, in n log n steps: pairs wait in a heap, and one that
     has changed since it was put there is passed over."""

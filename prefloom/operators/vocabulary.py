@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.functions.tokens import WordTokenizer
+from prefloom.functions.tokens import SLICE_BYTES, WordTokenizer, slices, text_sizes
 from prefloom.operators.skew import HOT_ROWS, bounded_sample, frequent_keys, join_unique
 from prefloom.session import cut_lineage
 
@@ -20,14 +21,39 @@ SMALL_VOCABULARY = 1_000_000
 SMALL_VOCABULARY_BYTES = 64 << 20
 # Sequences looked at to find tokens that make up a large share of a data set.
 SAMPLE_SEQUENCES = 2_000
-# Rows that are named together by a larger vocabulary.
-BLOCK_ROWS = 256
+# Ids of the rows that are named together by a larger vocabulary.
+BLOCK_IDS = 1 << 19
+# Texts whose distinct words a task sends at a time.
+WORDS_BYTES = 16 << 20
 
 
 def build_vocabulary(texts: DataFrame, text: str, tokenizer: WordTokenizer = WordTokenizer()) -> DataFrame:
-    """(token_id, token) of every word in the texts; two words with one id fail the query."""
-    words = texts.select(F.explode(F.array_distinct(tokenizer.words(F.col(text)))).alias("token")).distinct()
-    ids = words.select(tokenizer.word_id(F.col("token")).alias("token_id"), "token")
+    """(token_id, token) of every word in the texts; two words with one id fail the query.
+
+    Tasks send the distinct words of some megabytes of texts at a time, each with its id.
+    """
+    split, word_id = tokenizer.splitter(), tokenizer.hasher()
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = set(), 0
+
+        def out() -> pa.RecordBatch:
+            ids = pa.array(np.fromiter(map(word_id, own), np.int64, len(own)))
+            return pa.RecordBatch.from_arrays([ids, pa.array(own, pa.binary()).cast(pa.string())], ["token_id", "token"])
+
+        for batch in batches:
+            sizes = text_sizes(batch.column(0))
+            for start, end in slices(sizes, SLICE_BYTES):
+                for t in batch.column(0).slice(start, end - start).cast(pa.binary()).to_pylist():
+                    own.update(split(t or b""))
+                size += int(sizes[start:end].sum())
+                if size >= WORDS_BYTES:
+                    yield out()
+                    own, size = set(), 0
+        if own:
+            yield out()
+
+    ids = texts.select(F.col(text).cast("string")).mapInArrow(words, "token_id long, token string")
     return ids.groupBy("token_id").agg(_only_word().alias("token"))
 
 
@@ -54,16 +80,17 @@ def decode(
     shuffle, a larger one is joined to the distinct ids of blocks of rows; both give the same rows.
     """
     plain = vocabulary.where(F.col("token").isNotNull() & ~F.col("token_id").isin(*specials))
-    entries, size = plain.limit(small_vocabulary + 1).agg(F.count("*"), F.sum(F.octet_length("token"))).first()
+    entries, size = plain.agg(F.count("*"), F.sum(F.octet_length("token"))).first()
     if entries <= small_vocabulary and (size or 0) <= SMALL_VOCABULARY_BYTES:
         return df.select(key, _lookup(plain.select("token_id", "token").toArrow(), df)(F.col(tokens)).alias(out))
     # A block of rows asks once for each of its ids.
-    numbered = df.select(F.col(key).alias("key"), F.col(tokens).alias("ids"), F.monotonically_increasing_id().alias("row"))
-    rows = cut_lineage(numbered.select("key", "ids", F.expr(f"row div {BLOCK_ROWS}").alias("block")))
-    sample, _, fraction = bounded_sample(rows.select("ids"), SAMPLE_SEQUENCES)
-    sampled = sample.agg(F.sum(F.array_size("ids"))).first()[0] or 0
-    hot = frequent_keys(sample.select(F.explode("ids").alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
-    asked = rows.select("block", F.explode(F.array_distinct("ids")).alias("token_id")).distinct()
+    rows = cut_lineage(_blocks(df.select(F.col(key).alias("key"), F.col(tokens).cast("array<bigint>").alias("ids"))))
+    hot = []
+    if rows.select("block").distinct().count() > min_hot_rows:  # else no id is asked for so often
+        sample, _, fraction = bounded_sample(rows.select("ids"), SAMPLE_SEQUENCES)
+        sampled = sample.agg(F.sum(F.array_size("ids"))).first()[0] or 0
+        hot = frequent_keys(sample.select(F.explode("ids").alias("token_id")), "token_id", sampled, fraction, min_hot_rows)
+    asked = rows.select("block", F.array_distinct("ids").alias("ids")).mapInArrow(_distinct_ids, "block long, token_id long")
     names = join_unique(asked, plain, "token_id", hot, ["block"], how="inner").select(F.col("block").alias("asking"), "token_id", "token")
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(out, T.StringType())])
 
@@ -74,6 +101,32 @@ def decode(
     return rows.groupBy("block").cogroup(names.groupBy("asking")).applyInArrow(name, schema)
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, ids) and the number of their block: consecutive rows of a batch with ``BLOCK_IDS`` ids at most,
+    or a longer row alone."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, end in slices(sizes, BLOCK_IDS):
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(end - start, number))], ["key", "ids", "block"])
+                number += 1
+
+    return rows.mapInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())]))
+
+
+def _distinct_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, token_id) once for each run of a block's rows in a batch."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], len(block)]):
+            ids = np.unique(batch.column(1).slice(start, end - start).flatten().drop_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block[start])), pa.array(ids, pa.int64())], ["block", "token_id"])
+
+
 def _sorted(vocabulary: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Ids in ascending order, and their words."""
     kept = vocabulary.filter(pc.is_valid(vocabulary.column("token_id"))).sort_by("token_id").combine_chunks()
