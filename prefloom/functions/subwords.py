@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import Template
+from prefloom.functions.text import BLANKS, Template
 from prefloom.functions.tokens import IDS, SLICE_BYTES, CallableTokenizer, WordTokenizer, slices, text_sizes
 from prefloom.schemas import EOS_TEXT, PAD_TEXT
 
@@ -34,6 +34,7 @@ CACHED_SIZE = 4_000_000
 WORD_SIZE = 30  # what an entry takes besides, in the same measure
 SHORT = 100  # characters; within so many all cuts are tried
 FITTED = "struct<prompt: string, ids: array<bigint>>"
+EXAMPLE = "struct<prompt: string, ids: array<bigint>, response_ids: array<bigint>, response_tokens: int, joint_ids: array<bigint>>"
 
 
 def merge_pairs(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
@@ -263,6 +264,52 @@ class SubwordTokenizer:
         body = F.coalesce(fields[cut_field].cast("string"), F.lit(null_text))
         return run(before.render(fields, null_text), body, after.render(fields, null_text))
 
+    def fit_example(
+        self,
+        template: str,
+        fields: Mapping[str, Column],
+        response: Column,
+        budget: int,
+        width: int,
+        cut_field: str = "post",
+        cut_text: str = "\n",
+        null_text: str = "None",
+    ) -> Column:
+        """``fit_prompt_ids`` and, by the same worker, the first ``width`` ids of the response and of the joined text, and
+        the response's token count: a struct whose prompt, ids and joint_ids are NULL where nothing fits.
+
+        The joined text is the prompt without special texts and without blanks at its ends, and the response.
+        """
+        before, after = Template.parse(template).around(cut_field)
+        make, specials = self.encoder, tuple(self.specials)
+
+        @F.arrow_udf(EXAMPLE)
+        def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            own = make()
+
+            def joint(prompt: str, response: str) -> list[int]:
+                for special in specials:
+                    prompt = prompt.replace(special, "")
+                return own.encode(prompt.strip(BLANKS) + response)[:width]
+
+            for parts in batches:
+                for start, end in slices(sum(map(text_sizes, parts)), SLICE_BYTES):
+                    prompts, ids, heads, counts, joints = [], [], [], [], []
+                    for *prompt, text in zip(*(part.slice(start, end - start).to_pylist() for part in parts)):
+                        found = own.fit(*prompt, budget, cut_text)
+                        whole = None if text is None else own.encode(text)
+                        prompts.append(found and found[0])
+                        ids.append(found and found[1])
+                        heads.append(whole if whole is None else whole[:width])
+                        counts.append(whole if whole is None else len(whole))
+                        joints.append(None if found is None or text is None else joint(found[0], text))
+                    lists = [pa.array(x, pa.list_(pa.int64())) for x in (ids, heads, joints)]
+                    columns = [pa.array(prompts, pa.string()), lists[0], lists[1], pa.array(counts, pa.int32()), lists[2]]
+                    yield pa.StructArray.from_arrays(columns, ["prompt", "ids", "response_ids", "response_tokens", "joint_ids"])
+
+        body = F.coalesce(fields[cut_field].cast("string"), F.lit(null_text))
+        return run(before.render(fields, null_text), body, after.render(fields, null_text), response)
+
     def fit_prompt(self, template: str, fields: Mapping[str, Column], budget: int, *cut: str, **more: str) -> Column:
         return self.fit_prompt_ids(template, fields, budget, *cut, **more)["prompt"]
 

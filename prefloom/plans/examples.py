@@ -30,7 +30,21 @@ def with_query(
     else:
         staged = df.withColumn("_prompt", tokenizer.fit_prompt(*cut))
         staged = staged.withColumn("_query_ids", tokenizer.encode(F.col("_prompt")))
-    return staged.withColumn("query", lstrip(tokenizer.drop_specials(F.col("_prompt"))))
+    return staged.withColumn("query", _query(tokenizer))
+
+
+def _query(tokenizer: Tokenizer) -> Column:
+    return lstrip(tokenizer.drop_specials(F.col("_prompt")))
+
+
+def with_example_ids(df: DataFrame, fields: Mapping[str, Column], params: SftParams, tokenizer: SubwordTokenizer) -> DataFrame:
+    """What ``with_query``, ``with_response_ids`` and ``joint_ids`` add, by one Python worker a task instead of three."""
+    cut = (params.cut_field, params.cut_text, params.null_text)
+    example = tokenizer.fit_example(params.template, fields, F.col("response"), params.budget, params.total_width, *cut)
+    names = {"_prompt": "prompt", "_query_ids": "ids", "_response_ids": "response_ids", "_ids": "joint_ids"}
+    staged = df.withColumn("_example", example).withColumns({name: F.col(f"_example.{field}") for name, field in names.items()})
+    staged = staged.withColumn("response_token_length", F.col("_example.response_tokens"))
+    return staged.withColumn("query", _query(tokenizer))
 
 
 def with_response_ids(df: DataFrame, width: int, tokenizer: Tokenizer) -> DataFrame:
@@ -85,9 +99,12 @@ def build_sft_examples(
     _check_widths(params)
     fields = {name: F.col(name) for name in ("subreddit", "title", "post")}
     response = format_response(F.col("summary"), leading_blank=True, eos_text=tokenizer.eos_text, null_text=params.null_text)
-    staged = with_query(posts, fields, params, tokenizer).withColumn("response", response)
-    staged = with_response_ids(staged, params.total_width, tokenizer)
-    staged = staged.withColumn("_ids", joint_ids("response", "_response_ids", params, tokenizer))
+    if isinstance(tokenizer, SubwordTokenizer):
+        staged = with_example_ids(posts.withColumn("response", response), fields, params, tokenizer)
+    else:
+        staged = with_query(posts, fields, params, tokenizer).withColumn("response", response)
+        staged = with_response_ids(staged, params.total_width, tokenizer)
+        staged = staged.withColumn("_ids", joint_ids("response", "_response_ids", params, tokenizer))
     staged = staged.withColumn("query_and_response_tokens", fix_width(F.col("_ids"), params.total_width, tokenizer.pad_id))
     labels = mask_query_labels(F.col("query_and_response_tokens"), F.size("_query_ids"))
     query = query_columns(params, tokenizer)
