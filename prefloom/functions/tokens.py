@@ -1,8 +1,8 @@
 """Tokenizers: text to token ids, token counts and prompts cut to a budget.
 
 ``WordTokenizer`` stays inside the JVM: a token is a run of non-blank characters and its id
-comes from its md5, so ids agree on every machine without a vocabulary; where whole texts are encoded on the
-way to Python, ``encode_batches`` hashes each word once instead of each time. ``CallableTokenizer``
+comes from its md5, so ids agree on every machine without a vocabulary; ``splitter`` and ``hasher`` are its
+forms inside a Python task. ``CallableTokenizer``
 wraps any encoder the caller brings (a BPE, say) in Arrow functions. Both share one surface,
 so the plans take either.
 """
@@ -36,8 +36,6 @@ IDS = T.ArrayType(T.LongType(), containsNull=False)
 
 # Texts and ids of a batch are worked on in slices of so many bytes, as their lists take many times that.
 SLICE_BYTES = 1 << 20
-# Bytes of the words whose ids a task keeps, and what an entry takes besides; beyond that it starts anew.
-KEPT_BYTES, ENTRY_BYTES = 64 << 20, 160
 
 
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -55,22 +53,6 @@ def text_sizes(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-class WordIds(dict):
-    """Ids of the words met, of bounded size."""
-
-    def __init__(self, word_id: Callable[[bytes], int]):
-        super().__init__()
-        self.word_id, self.size = word_id, 0
-
-    def __missing__(self, word: bytes) -> int:
-        if self.size > KEPT_BYTES:
-            self.clear()
-            self.size = 0
-        self.size += ENTRY_BYTES + len(word)
-        own = self[word] = self.word_id(word)
-        return own
-
-
 @dataclass(frozen=True)
 class WordTokenizer:
     pad_id: int = 0
@@ -125,24 +107,6 @@ class WordTokenizer:
 
         return word_id
 
-    def encode_batches(self, text: Column) -> Column:
-        """The ids ``encode`` gives to whole texts, in Arrow batches: a task hashes each word it keeps once."""
-        split, word_id = self.splitter(), self.hasher()
-
-        @F.arrow_udf(IDS)
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            ids = WordIds(word_id)
-            for batch in batches:
-                for start, end in slices(text_sizes(batch), SLICE_BYTES):
-                    texts = batch.slice(start, end - start).cast(pa.binary()).to_pylist()
-                    found = [None if t is None else split(t) for t in texts]
-                    flat = [w for words in found if words for w in words]
-                    offsets = np.concatenate([[0], np.cumsum([len(w or ()) for w in found])]).astype(np.int32)
-                    own = pa.array(np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat)))
-                    yield pa.ListArray.from_arrays(offsets, own, mask=pa.array([w is None for w in found]))
-
-        return run(text)
-
     def count(self, text: Column) -> Column:
         return F.regexp_count(self._spaced(text), F.lit(r"\S+"))
 

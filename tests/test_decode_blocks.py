@@ -2,27 +2,20 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prefloom.functions import tokens
-from prefloom.functions.tokens import WordIds, WordTokenizer
+from prefloom.functions.tokens import WordTokenizer
 from prefloom.operators import vocabulary as vc
 
 TEXTS = [None, "", " \t\n\x0b\x0c\r", "a b c a", "x<|endoftext|>y[PAD] [PAD", "é ü \x1cz\x85 \x00", "<|endoftext|>", "[[PAD]] 漢 a\rb"]
 
 
-def test_batches_give_the_ids_of_the_columns(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS * 3)), "id int, text string").coalesce(1)
+def test_python_tasks_find_the_words_and_ids_of_the_columns(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     tokenizer = WordTokenizer(pad_id=7, eos_id=-1, first_word_id=11)
-    rows = df.select(tokenizer.encode(F.col("text")).alias("a"), tokenizer.encode_batches(F.col("text")).alias("b")).collect()
-    assert all(r.a == r.b for r in rows) and rows[4].b.count(-1) == 1 and rows[0].b is None
-
-
-def test_a_word_is_hashed_once_and_what_is_kept_is_bounded(monkeypatch):
-    met = []
-    ids = WordIds(lambda word: met.append(word) or len(met))
-    assert [ids[w] for w in (b"a", b"b", b"a", b"b")] == [1, 2, 1, 2] and met == [b"a", b"b"]
-    monkeypatch.setattr(tokens, "KEPT_BYTES", 10 * tokens.ENTRY_BYTES)
-    for i in range(100):
-        assert ids[b"w%d" % i] and len(ids) <= 11
+    split, word_id = tokenizer.splitter(), tokenizer.hasher()
+    rows = df.where("text IS NOT NULL").select("text", tokenizer.words(F.col("text")).alias("w"), tokenizer.encode(F.col("text")).alias("ids")).collect()
+    for row in rows:
+        assert [w.decode() for w in split(row.text.encode())] == row.w and [word_id(w.encode()) for w in row.w] == row.ids
+    assert len(rows) == 7 and sum(r.ids.count(-1) for r in rows) == 2
 
 
 def test_a_block_asks_once_for_each_id(spark):
@@ -38,7 +31,7 @@ def test_texts_of_many_blocks_come_back(spark, monkeypatch, ids, small):
     texts = [TEXTS[i % len(TEXTS)] if i % 2 else f"word{i} the the {'of ' * (i % 7)}" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(2)
     tokenizer = WordTokenizer()
-    encoded = df.select("id", tokenizer.encode_batches(F.col("text")).alias("tokens"))
+    encoded = df.select("id", tokenizer.encode(F.col("text")).alias("tokens"))
     words = df.select("id", F.array_join(F.filter(tokenizer.words(F.col("text")), lambda w: ~w.isin(*tokenizer.specials)), " ").alias("text"))
     got = vc.decode(encoded, "id", "tokens", vc.build_vocabulary(df, "text"), small_vocabulary=small)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, words.collect()))
