@@ -2,7 +2,8 @@
 
 The n-gram count tables lie in ranges of a 64-bit hash. Every block of texts sends its n-grams, exploded and
 counted once per block, to their ranges, is joined there to the counts over all blocks (see ``exchange``), and
-sums the scores of each text's words. A text does not count for itself: its own n-grams are taken off, so
+sums the scores of each text's words. Words and pairs are asked for first; of the longer n-grams only those follow
+whose two shorter parts occur in other texts, since no other text can hold the rest. A text does not count for itself: its own n-grams are taken off, so
 copies and near copies score high and a text does not vouch for its own words.
 """
 
@@ -22,6 +23,7 @@ BACKOFF = 0.4
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 2 << 20
 MICRO = 1_000_000
+RANGE_KEYS = 1 << 21
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
@@ -47,44 +49,87 @@ def grams(own: Words, order: int) -> list[np.ndarray]:
     return out
 
 
-def counted(batch: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block and their counts; key 0 counts its words."""
-    keys, counts, n = [], [], 0
-    for _, _, own in parts(batch):
-        n += len(own.hash)
-        for key in grams(own, order):
-            key, count = np.unique(key[key > 0], return_counts=True)
-            keys.append(key)
-            counts.append(count)
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key))
-    return np.concatenate([np.zeros(1, np.uint64), key]), np.concatenate([[n], count]).astype(np.int64)
+def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams, without 0, and their counts."""
+    key = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
+    key = key[np.searchsorted(key, 1) :]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(first, append=len(key))
+
+
+class Texts:
+    """The texts of a block, some megabytes a part: n-grams by order, and how often other texts have them."""
+
+    def __init__(self, batch: pa.RecordBatch, order: int):
+        self.parts = list(parts(batch))
+        self.keys = [grams(own, order) for _, _, own in self.parts]
+        self.doc = [own.text for _, _, own in self.parts]
+        self.counts: list[list[np.ndarray]] = [[] for _ in self.parts]
+        self.total = 0  # words of all blocks
+
+    def asked(self, orders: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of these orders that other texts may have, and their counts; key 0, before those of
+        order 1, counts the words. From order 3 on other texts can only have an n-gram whose two parts of one
+        word less they have: the others are left out here, in every text that holds them."""
+        for keys, counts in zip(self.keys, self.counts):
+            for o in orders:
+                if o > 2:
+                    known = counts[o - 2] > 0
+                    keys[o - 1][~(known & np.concatenate([[False], known[:-1]]))] = 0
+        key, count = distinct([keys[o - 1] for keys in self.keys for o in orders])
+        if 1 in orders:
+            n = sum(len(d) for d in self.doc)
+            key, count = np.concatenate([np.zeros(1, np.uint64), key]), np.concatenate([[n], count])
+        return key, count
+
+    def answered(self, orders: list[int], key: np.ndarray, total: np.ndarray) -> None:
+        if 1 in orders:
+            self.total = int(total[0])
+        for keys, doc, counts in zip(self.keys, self.doc, self.counts):
+            counts.extend(others(keys[o - 1], doc, key, total) for o in orders)
+
+
+def steps(order: int) -> list[list[int]]:
+    """Which orders are asked for together; each later step needs the replies to the one before."""
+    return [list(range(1, min(order, 2) + 1)), *([o] for o in range(3, order + 1))]
+
+
+def told(batch: pa.RecordBatch, order: int, replies: list) -> Texts:
+    """The texts of a block with the counts that the replies to its first steps give."""
+    texts = Texts(batch, order)
+    for orders, reply in zip(steps(order), replies):
+        key, count = texts.asked(orders)
+        texts.answered(orders, key, count + exchange.joined(reply if reply.is_valid else [], "int64", dense=True))
+    return texts
 
 
 def merge(requests: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """How often the other blocks have each n-gram of a block."""
     key, inverse = np.unique(np.concatenate([r[0] for r in requests]), return_inverse=True)
     total = np.zeros(len(key), dtype=np.int64)
     np.add.at(total, inverse, np.concatenate([r[1] for r in requests]))
-    return np.split(total[inverse], np.cumsum([len(r[0]) for r in requests])[:-1])
+    replies = np.split(total[inverse], np.cumsum([len(r[0]) for r in requests])[:-1])
+    return [reply - r[1] for reply, r in zip(replies, requests)]
 
 
 def others(key: np.ndarray, doc: np.ndarray, known: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """How often each n-gram occurs outside its own text."""
-    n = total[np.searchsorted(known, key)]
-    order = np.lexsort((doc, key))
-    new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(doc[order]) != 0)]) if len(key) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    own = np.empty(len(key), dtype=np.int64)
-    own[order] = np.bincount(group)[group] if len(key) else 0
-    return np.where(key > 0, n - own, 0)
+    """How often each n-gram occurs outside its own text; 0 for key 0."""
+    out = np.zeros(len(key), dtype=np.int64)
+    place = np.flatnonzero(key)
+    at = np.searchsorted(known, key[place])
+    pair = at * (int(doc[-1]) + 1 if len(doc) else 1) + doc[place]
+    order = np.argsort(pair)
+    new = np.flatnonzero(np.diff(pair[order], prepend=-1))
+    own = np.diff(new, append=len(pair))
+    out[place[order]] = total[at[order]] - np.repeat(own, own)
+    return out
 
 
-def scored(own: Words, n: int, known: np.ndarray, total: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, ...]:
+def scored(own: Words, n: int, counts: list[np.ndarray], total: int, backoff: float) -> tuple[np.ndarray, ...]:
     """For each of n texts: words, words scored by the longest n-gram, words that no other text has, and the score."""
-    keys, doc = grams(own, order), own.text
+    doc, order = own.text, len(counts)
     n_words = np.diff(own.first)
-    outside = (total[0] - n_words)[doc]
-    counts = [others(k, doc, known, total) for k in keys]
+    outside = (total - n_words)[doc]
     value = np.where(counts[0] > 0, counts[0], 1) / np.where(counts[0] > 0, np.maximum(outside, 1), outside + 1)
     longest = np.minimum(np.arange(len(doc)) - own.first[:-1][doc], order - 1)
     used = np.zeros(len(doc), dtype=np.int64)
@@ -110,20 +155,33 @@ def score(df: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_column
     than all. A-Z are lower-cased. NULL and empty texts have no words and score 0; equal rows count for each
     other; other columns are ignored.
     """
-    stored = exchange.write_blocks(df, id_column, text_column, BLOCK_BYTES)
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = exchange.write_blocks(df, id_column, text_column, BLOCK_BYTES, buckets=buckets)
     kind = df.schema[id_column].dataType.simpleString()
-    ranges = exchange.ranges_for(stored, BLOCK_BYTES // 8 * order)
-    replies = exchange.ask(stored, lambda b: counted(b, order), merge, ("int64",), "int64", ranges)
+    n_blocks = stored.count()
+
+    def request(docs: pa.RecordBatch, *replies: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        key, count = told(docs, order, replies).asked(steps(order)[len(replies)])
+        return key, count.astype(np.uint32)
+
+    for number, orders in enumerate(steps(order)):
+        ranges = n_blocks * (BLOCK_BYTES // 8) * len(orders) // RANGE_KEYS
+        replies = exchange.ask(stored, request, merge, ("uint32",), "int64", ranges, dense=True)
+        if number + 1 < len(steps(order)):
+            replies = exchange.write_buckets(replies, "replies", buckets)
+        # A block that asked for nothing has no reply.
+        stored = stored.join(replies.withColumnRenamed("parts", f"parts_{number}"), "block", "left")
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, parts_ in zip(batch.column("payload"), batch.column("parts")):
+            for _, payload, *answers in zip(*batch.columns):
                 docs = exchange.unpacked(payload.as_py())
-                known, total = counted(docs, order)[0], exchange.joined(parts_, "int64")
-                for row, n, own in parts(docs):
-                    n_words, n_hits, n_unseen, sums = scored(own, n, known, total, order, backoff)
+                texts = told(docs, order, answers)
+                for (row, n, own), counts in zip(texts.parts, texts.counts):
+                    n_words, n_hits, n_unseen, sums = scored(own, n, counts, texts.total, backoff)
                     arrays = [docs.column(0).slice(row, n), *(pa.array(x) for x in (n_words, n_hits, n_unseen, sums))]
                     yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_hits", "n_unseen", "log_score"])
 
-    out = stored.join(replies, "block").mapInArrow(sums, f"id {kind}, n_words long, n_hits long, n_unseen long, log_score long")
+    out = stored.mapInArrow(sums, f"id {kind}, n_words long, n_hits long, n_unseen long, log_score long")
     return out.withColumnRenamed("id", id_column)
