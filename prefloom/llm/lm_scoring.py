@@ -23,7 +23,7 @@ BACKOFF = 0.4
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 2 << 20
 MICRO = 1_000_000
-RANGE_KEYS = 1 << 21
+RANGE_KEYS = 1 << 22
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
@@ -116,7 +116,9 @@ def others(key: np.ndarray, doc: np.ndarray, known: np.ndarray, total: np.ndarra
     """How often each n-gram occurs outside its own text; 0 for key 0."""
     out = np.zeros(len(key), dtype=np.int64)
     place = np.flatnonzero(key)
-    at = np.searchsorted(known, key[place])
+    order = np.argsort(key[place])
+    at = np.empty(len(place), dtype=np.int64)
+    at[order] = np.searchsorted(known, key[place[order]])  # several times faster in ascending order
     pair = at * (int(doc[-1]) + 1 if len(doc) else 1) + doc[place]
     order = np.argsort(pair)
     new = np.flatnonzero(np.diff(pair[order], prepend=-1))
