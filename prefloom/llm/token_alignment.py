@@ -7,7 +7,8 @@ both lists at once, divide the walk into pieces of equal work that know nothing
 behind an end which its neighbour has already taken is stitched to it there (``Aligned``).
 
 Documents are aligned some hundred kilobytes at a time; the token ids of linked pairs are kept as one row a slice in
-the shared folder. Pairs are counted per task before they are shuffled. The counts go back to the slices by
+the shared folder, in row groups of ``GROUP_BYTES``: Spark's reader holds up to 4096 rows of a row group at once, and
+the writer a whole one. Pairs are counted per task before they are shuffled. The counts go back to the slices by
 broadcasts of at most ``PAIRS_AT_ONCE`` pairs, a further lot of pairs being one more pass over the slices.
 """
 
@@ -33,6 +34,7 @@ from prefloom.session import scratch_path
 
 SLICE_BYTES = 1 << 18
 PIECE = 1 << 16  # steps of the merge to a piece
+GROUP_BYTES = 1 << 23  # slices that stand together in a file, which are written and read at once
 PAIRS_AT_ONCE = 2_000_000  # pairs of a broadcast: 17 bytes each
 PAIRS_HELD = 1 << 19  # distinct pairs that a counting task holds before it passes them on
 
@@ -295,6 +297,7 @@ def alignment(
     slice_bytes: int = SLICE_BYTES,
     piece: int = PIECE,
     pairs_at_once: int = PAIRS_AT_ONCE,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Columns ``id_column``, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: one row per row of ``df``.
 
@@ -328,7 +331,9 @@ def alignment(
 
     path = scratch_path(spark, "aligned")
     schema = f"slice long, id array<{kind}>, {', '.join(f'{c} array<long>' for c in counts)}, digest array<string>, links binary"
-    docs.mapInArrow(align, schema).write.option("compression", "zstd").parquet(path)
+    groups = {"parquet.block.size": group_bytes, "parquet.page.size": group_bytes}
+    looks = {f"parquet.page.size.row.check.{k}": rows for k, rows in (("min", 1), ("max", 8))}  # rows between two looks at the size
+    docs.mapInArrow(align, schema).write.options(compression="zstd", **groups, **looks).parquet(path)
     stored = spark.read.parquet(path)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,16 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import frame
 
 from prefloom.llm.queries import tokenizer_path
 from prefloom.llm.token_alignment import COMMON, Aligned, BytePairs, alignment, piece_bounds, token_groups
+from prefloom.session import scratch_made
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TEXTS = [
@@ -84,6 +87,21 @@ def test_alignment_agrees_with_brute_force(spark, slice_bytes, piece, at_once):
     assert sorted([tuple(r) for r in found.collect()], key=repr) == expected
 
 
+def test_slices_stand_in_small_row_groups(spark):
+    """What is read at once of the stored slices does not grow with the input of a task."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(200)]
+    before = set(scratch_made())
+    docs = frame(spark, texts).coalesce(1)
+    found = alignment(docs, tokenizer_path(A), tokenizer_path(B), slice_bytes=4000, group_bytes=1 << 15)
+    (path,) = [p for p in scratch_made() if p not in before and "prefloom-aligned-" in p]
+    (file,) = [pq.ParquetFile(f) for f in Path(path.removeprefix("file:")).glob("*.parquet")]
+    groups = [file.metadata.row_group(i) for i in range(file.num_row_groups)]
+    assert len(groups) > 5 and max(g.total_byte_size for g in groups) < 5 << 15 < sum(g.total_byte_size for g in groups)
+    assert sorted(tuple(r) for r in found.collect()) == [(i, *row) for i, row in enumerate(_brute(texts), 1)]
+
+
 def test_groups_give_the_texts_back(spark):
     texts = ["the quick brown fox", None, "naïve — café", "", "ab " * 300]
     rows = token_groups(frame(spark, texts), tokenizer_path(A), tokenizer_path(B), slice_bytes=20, piece=5).collect()
