@@ -37,13 +37,18 @@ def format_prompt_query(spark, d):
 
 @query(
     "format_response",
-    with_views(" SELECT id, ' ' || post || '<|endoftext|>' AS sft_response, post || '<|endoftext|>' AS pair_response FROM v_posts", "v_posts"),
+    with_views(
+        " SELECT id, ' ' || post || '<|endoftext|>' AS sft_response, post || '<|endoftext|>' AS pair_response, "
+        "' ' || summary || '<|endoftext|>' AS summary_response FROM v_posts",
+        "v_posts",
+    ),
 )
 def format_response_query(spark, d):
     return v.posts(spark, d).select(
         "id",
         format_response(F.col("post"), leading_blank=True).alias("sft_response"),
         format_response(F.col("post")).alias("pair_response"),
+        format_response(F.col("summary"), leading_blank=True).alias("summary_response"),
     )
 
 

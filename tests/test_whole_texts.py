@@ -27,6 +27,11 @@ def test_responses_are_whole_texts(spark, folder):
     assert {r.id: r.sft_response for r in rows} == {i: f" {t}{EOS_TEXT}" for i, t in enumerate(TEXTS)}
 
 
+def test_responses_of_summaries_stand_beside_those_of_whole_texts(spark, folder):
+    rows = QUERIES["format_response"](spark, folder).collect()
+    assert {r.id: r.summary_response for r in rows} == {i: f" {t.rpartition(chr(10))[2]}{EOS_TEXT}" for i, t in enumerate(TEXTS)}
+
+
 def test_whole_texts_follow_their_queries(spark, folder):
     rows = QUERIES["join_query_response"](spark, folder).collect()
     assert {r.id: r.query_and_response for r in rows} == {i: f"{t.strip()} {t}" for i, t in enumerate(TEXTS)}
