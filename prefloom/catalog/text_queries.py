@@ -54,11 +54,19 @@ def format_response_query(spark, d):
 
 @query(
     "join_query_response",
-    with_views(f" SELECT id, {v.sql_strip(v.NL + ' || post || ' + v.NL)} || ' ' || post AS query_and_response FROM v_posts", "v_posts"),
+    with_views(
+        f" SELECT id, {v.sql_strip(v.NL + ' || post || ' + v.NL)} || ' ' || post AS query_and_response, "
+        f"{v.sql_strip(v.NL + ' || post || ' + v.NL)} || ' ' || summary AS query_and_summary FROM v_posts",
+        "v_posts",
+    ),
 )
 def join_query_response_query(spark, d):
     padded = F.concat(F.lit("\n"), F.col("post"), F.lit("\n"))
-    return v.posts(spark, d).select("id", join_query_response(padded, F.concat(F.lit(" "), "post")).alias("query_and_response"))
+    return v.posts(spark, d).select(
+        "id",
+        join_query_response(padded, F.concat(F.lit(" "), "post")).alias("query_and_response"),
+        join_query_response(padded, F.concat(F.lit(" "), "summary")).alias("query_and_summary"),
+    )
 
 
 @query("encode", with_views(f" SELECT id, {sql_joined(sql_ids('post'))} AS tokens FROM v_posts", "v_posts"))

@@ -35,3 +35,8 @@ def test_responses_of_summaries_stand_beside_those_of_whole_texts(spark, folder)
 def test_whole_texts_follow_their_queries(spark, folder):
     rows = QUERIES["join_query_response"](spark, folder).collect()
     assert {r.id: r.query_and_response for r in rows} == {i: f"{t.strip()} {t}" for i, t in enumerate(TEXTS)}
+
+
+def test_summaries_follow_their_queries_too(spark, folder):
+    rows = QUERIES["join_query_response"](spark, folder).collect()
+    assert {r.id: r.query_and_summary for r in rows} == {i: f"{t.strip()} {t.rpartition(chr(10))[2]}" for i, t in enumerate(TEXTS)}
